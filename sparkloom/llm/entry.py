@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from . import warc
 from .bpe import op6_bpe
 from .decontam import op7_decontamination
+from .quality import op10_quality
+from .secrets import op2_secrets
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
+    "op9_warc": warc.op9_warc,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_warc": warc.SQL,
+}
