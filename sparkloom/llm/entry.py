@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import lines, warc
 from .bpe import op6_bpe
 from .decontam import op7_decontamination
 from .quality import op10_quality
 from .secrets import op2_secrets
 
 QUERIES = {
+    "op1_line_rules": lines.op1_line_rules,
     "op2_secrets": op2_secrets,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_rules": lines.SQL,
     "op9_warc": warc.SQL,
 }
