@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, warc
+from . import licenses, lines, tools, warc
 from .bpe import op6_bpe
 from .decontam import op7_decontamination
 from .quality import op10_quality
@@ -11,6 +11,8 @@ from .secrets import op2_secrets
 QUERIES = {
     "op1_line_rules": lines.op1_line_rules,
     "op2_secrets": op2_secrets,
+    "op3_licenses": licenses.op3_licenses,
+    "op4_tool_calls": tools.op4_tool_calls,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
     "op9_warc": warc.op9_warc,
@@ -18,6 +20,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_licenses": licenses.SQL,
+    "op4_tool_calls": tools.SQL,
     "op1_line_rules": lines.SQL,
     "op9_warc": warc.SQL,
 }
