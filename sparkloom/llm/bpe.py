@@ -14,6 +14,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -176,16 +177,16 @@ def blocks(text: str, size: int = _BLOCK) -> Iterator[str]:
     yield text[start:]
 
 
-def encode_rows(tokens_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", cache_bytes: int = 160 << 20):
+def encode_rows(tokens_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", cache_bytes: int = 160 << 20, with_tokens: bool = False):
     """For mapInArrow: ids and round trip of each text."""
 
     def run(batches):
         bpe, known, by_decimal = _engine(tokens_path, pattern, cache_bytes)
         split = bpe.split
         for batch in batches:
-            n, ids, back = [], [], []
+            n, ids, back, rows = [], [], [], []
             for text in batch.column(text_column).to_pylist():
-                count, digest, decoded, first = 0, hashlib.sha256(), hashlib.sha256(), True
+                count, digest, decoded, first, own = 0, hashlib.sha256(), hashlib.sha256(), True, []
                 for part in blocks(text or ""):
                     said = b"".join(map(known.__getitem__, split(part)))[:-1]
                     if said:
@@ -194,19 +195,24 @@ def encode_rows(tokens_path: str, pattern: str, id_column: str = "doc_id", text_
                         each = said.split(b" ")
                         count += len(each)
                         decoded.update(b"".join(map(by_decimal.__getitem__, each)))
+                        if with_tokens:
+                            own.append(np.array(each, "S").astype(np.int32))
                 n.append(count)
                 ids.append(digest.hexdigest())
                 back.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_column), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
-                names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_tokens:
+                    rows.append(np.concatenate(own) if own else np.empty(0, np.int32))
+            columns = {id_column: batch.column(id_column), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+            if with_tokens:
+                columns["tokens"] = pa.array(rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def encode_documents(docs: DataFrame, tokens_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Token count and digests of the ids and of the decoded bytes, one row for each row of docs.
+def encode_documents(docs: DataFrame, tokens_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_tokens: bool = False) -> DataFrame:
+    """Token count and digests of the ids and of the decoded bytes, one row for each row of docs; on request also
+    tokens array<int>.
 
     Null and empty texts: 0 tokens, digests of the empty string. Null ids stay null, repeated rows stay repeated, an
     empty table gives no rows; other columns of docs are not read. tokens_path is a rank file that every executor has.
@@ -214,22 +220,8 @@ def encode_documents(docs: DataFrame, tokens_path: str, pattern: str, id_column:
     common.ship(docs.sparkSession)
     kept = docs.select(id_column, text_column)
     kind = kept.schema[id_column].dataType.simpleString()
-    return kept.mapInArrow(encode_rows(tokens_path, pattern, id_column, text_column), f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def token_rows(docs: DataFrame, tokens_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The ids themselves: (id, tokens array<int>) for each row; null texts give an empty array."""
-    common.ship(docs.sparkSession)
-    kept = docs.select(id_column, text_column)
-    kind = kept.schema[id_column].dataType.simpleString()
-
-    def run(batches):
-        bpe, known, _ = _engine(tokens_path, pattern, 160 << 20)
-        for batch in batches:
-            rows = [[int(x) for part in blocks(t or "") for x in b"".join(map(known.__getitem__, bpe.split(part))).split()] for t in batch.column(text_column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(rows, pa.list_(pa.int32()))], names=[id_column, "tokens"])
-
-    return kept.mapInArrow(run, f"`{id_column}` {kind}, tokens array<int>")
+    schema = f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", tokens array<int>" * with_tokens
+    return kept.mapInArrow(encode_rows(tokens_path, pattern, id_column, text_column, with_tokens=with_tokens), schema)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, tools, warc
+from . import jaccard, licenses, lines, tools, warc
 from .bpe import op6_bpe
 from .decontam import op7_decontamination
 from .quality import op10_quality
@@ -13,6 +13,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_licenses": licenses.op3_licenses,
     "op4_tool_calls": tools.op4_tool_calls,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
     "op9_warc": warc.op9_warc,
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op3_licenses": licenses.SQL,
     "op4_tool_calls": tools.SQL,
     "op1_line_rules": lines.SQL,
+    "op5_jaccard": jaccard.SQL,
     "op9_warc": warc.SQL,
 }
