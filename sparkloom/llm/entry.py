@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, lines, tools, warc
+from . import chunks, jaccard, licenses, lines, tools, warc
 from .bpe import op6_bpe
 from .decontam import op7_decontamination
 from .quality import op10_quality
@@ -16,6 +16,7 @@ QUERIES = {
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
+    "op8_chunks": chunks.op8_chunks,
     "op9_warc": warc.op9_warc,
     "op10_quality": op10_quality,
 }
