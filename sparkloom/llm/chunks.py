@@ -34,7 +34,7 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(data: bytes, smallest: int = 12, mask_bits: int = 4, largest: int = 128) -> list[int]:
+def cuts(data: bytes, smallest: int = 8, mask_bits: int = 4, largest: int = 96) -> list[int]:
     """Ends of chunks. A cut needs mask_bits zero bits at the top of the hash and at least `smallest` bytes since the
     last one; after `largest` bytes a chunk ends anyway. Characters are never cut in two."""
     out, last, size = [], 0, len(data)
@@ -157,7 +157,7 @@ def stretches(spans):
     return F.zip_with(begins, ends, lambda a, z: F.struct(a["at"].alias("start"), z["end"].alias("end")))
 
 
-def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = 120, **limits) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = 90, **limits) -> DataFrame:
     """(id, key, shared, repeats: array<struct<start, end>>) for each text with a passage that occurs elsewhere too.
 
     Spans are bytes of the UTF-8 text. shared: stretches of at least min_bytes that occur in another row or at another
@@ -189,7 +189,7 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.xxhash64(id_column, text_column).alias("_key"))
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = 120, **limits) -> DataFrame:
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = 90, **limits) -> DataFrame:
     """The rows of docs, all columns, with the bytes of repeats cut out of the texts. Null texts stay null."""
     common.ship(docs.sparkSession)
     names, key = docs.columns, F.xxhash64(id_column, text_column)
