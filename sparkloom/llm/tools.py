@@ -3,7 +3,7 @@ Built-in functions only."""
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -60,26 +60,51 @@ def levels(edges: DataFrame) -> DataFrame:
     """(id, level): topological levels of the ids that need others, from edges (id, needs) of which all ends exist.
 
     An id that needs none has level 0 and isn't returned; another's level is one above the largest of those it needs.
-    Ids on a cycle, and those that need them, get a null. A round per level, each written to the shared folder; no
-    group is gathered anywhere.
+    Ids on a cycle, and those that need them, get a null. Null ends and repeated edges don't count.
+
+    Ids that need just one other are chains: pointers along them are doubled, so a chain of n costs log n rounds. What
+    remains are ids with several needs; they take a round for each level among themselves. Rounds are written to the
+    shared folder; no group is gathered anywhere.
     """
-    left = common.written(edges.where("id IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
-    done, level = [], 0
-    while not left.isEmpty():
-        level += 1
-        # edges to ids that are still waiting stay
-        waiting = left.select(F.col("id").alias("needs")).distinct()
-        rest = common.written(left.join(waiting, "needs", "left_semi").select("id", "needs"), "edges")
-        ids = left.select("id").distinct()
-        free = ids.join(rest.select("id").distinct(), "id", "left_anti")
+    edges = common.written(edges.where("id IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
+    # where a pointer stands, how far it has come, and whether it can go on
+    one = edges.groupBy("id").agg(F.count("*").alias("n"), F.first("needs").alias("at")).where("n = 1").select("id", "at", F.lit(1).cast("long").alias("far"))
+    steps = common.written(one, "steps")
+    rounds = max(1, steps.count()).bit_length() + 1
+    for _ in range(rounds):
+        ahead = steps.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"))
+        moved = steps.join(ahead, "at", "left").select("id", F.coalesce("_at", "at").alias("at"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_at").isNotNull().alias("_on"))
+        moved = common.written(moved, "steps")
+        steps = moved.drop("_on")
+        if moved.where("_on").isEmpty():
+            break
+    else:  # what still moves runs in a circle
+        steps = moved.select("id", F.when(~F.col("_on"), F.col("at")).alias("at"), "far")
+    # ids with several needs, each need as the end of its chain and the way to it
+    several = edges.join(steps.select("id"), "id", "left_anti")
+    ends = steps.select(F.col("id").alias("needs"), F.col("at"), F.col("far").alias("_far"), F.lit(True).alias("_on"))
+    pending = several.join(ends, "needs", "left").select("id", F.when(F.col("_on"), F.col("at")).otherwise(F.col("needs")).alias("at"), (F.coalesce("_far", F.lit(0)) + 1).alias("far"))
+    pending = common.written(pending, "pending")
+    path = f"{common.shared_dir(edges.sparkSession)}/levels-{uuid.uuid4().hex}"
+    known = pending.select("id", F.col("far").alias("level")).limit(0)
+    known.write.parquet(path)
+    spark, schema = edges.sparkSession, known.schema
+    while not pending.isEmpty():
+        waiting = pending.select(F.col("id").alias("at")).distinct().withColumn("_wait", F.lit(True))
+        had = spark.read.schema(schema).parquet(path).toDF("at", "_level")
+        now = pending.join(waiting, "at", "left").join(had, "at", "left")
+        free = now.groupBy("id").agg(F.max(F.coalesce("_level", F.lit(0).cast("long")) + F.col("far")).alias("level"), F.max(F.coalesce("_wait", F.col("at").isNull())).alias("stop")).where("NOT stop").drop("stop")
+        free = common.written(free, "free")
         if free.isEmpty():
-            done.append(ids.withColumn("level", F.lit(None).cast("int")))
             break
-        done.append(free.withColumn("level", F.lit(level)))
-        # an id that is free now no longer holds up others, but its edges are gone only with it
-        left = common.written(left.join(free, "id", "left_anti").select("id", "needs"), "edges")
-    none = edges.select("id").limit(0).withColumn("level", F.lit(None).cast("int"))
-    return reduce(DataFrame.unionByName, done, none)
+        free.write.mode("append").parquet(path)
+        pending = common.written(pending.join(free, "id", "left_anti"), "pending")
+    known = spark.read.schema(schema).parquet(path)
+    stuck = pending.select("id").distinct().withColumn("level", F.lit(None).cast("long"))
+    base = known.unionByName(stuck)
+    chains = steps.join(base.select(F.col("id").alias("at"), "level", F.lit(True).alias("_has")), "at", "left")
+    level = F.when(F.col("at").isNull(), None).when(F.col("_has"), F.col("level") + F.col("far")).otherwise(F.col("far"))
+    return base.unionByName(chains.select("id", level.alias("level"))).select("id", F.col("level").cast("int").alias("level"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict) -> DataFrame:
