@@ -3,19 +3,20 @@
 A document is the set of its n-grams, as 64-bit hashes; the order of the hashes is the global order of n-grams. Sets are
 cut into fragments, ranges of that order.
 
-1. Candidates. Two sets whose Jaccard similarity is J or more differ in at most d n-grams, d a function of their sizes;
-   of more than d fragments at least one is therefore equal in both. So equal (fragment, content) keys find every
-   link, and an n-gram that a third of all documents hold makes no key by itself. Sizes fall into classes such that
-   linked sets are in the same class or in adjacent ones; each class has its own number of fragments, and a set
-   emits keys in its own class and, as a guest, in the next.
-2. Groups. Sets that share a key, or share one with a set that does, form a group. No pair is made for that: each key
-   links its sets with the smallest of them.
+1. Candidates. Two sets whose Jaccard similarity is J or more differ in at most d n-grams, d a function of their sizes.
+   Cut into d + 1 + w fragments, at least w + 1 are equal in both. So equal (fragment, content) keys find every link,
+   and an n-gram that a third of all documents hold makes no key by itself. Sizes fall into classes such that linked
+   sets are in the same class or in adjacent ones; each class has its own number of fragments, and a set emits keys
+   in its own class and, as a guest, in the next.
+2. Groups. A set that shares fewer keys with others than w + 1, less its empty fragments, has no link: it goes, and
+   the count is taken again. Sets left that share a key, or share one with a set that does, form a group. No pair is
+   made for that: each key links its sets with the smallest of them.
 3. Overlaps. Groups are split into blocks of bounded size, and pairs of blocks are tasks. There the overlap of every
    two sets is counted fragment by fragment and summed up. What leaves a task is a spanning forest of its links, at
    most one row a set: enough for components, and linear however many copies there are.
 
-The smallest part of d is left as slack, so that fragments that happen to be empty need not be keys: w more fragments
-than d + 1 leave w + 1 equal ones, and a set with at most w empty ones has an equal one that isn't empty.
+The slack w has a second use: fragments that happen to be empty need not be keys, as a set with at most w empty ones
+has an equal one that isn't empty.
 """
 
 from __future__ import annotations
@@ -57,8 +58,9 @@ def classes(num: int, den: int) -> Classes:
     return Classes(num, den)
 
 
-def fragment_keys(own: np.ndarray, c: Classes) -> list[tuple[int, np.ndarray]]:
-    """(class, keys) for the set's own class and the next one. own: sorted distinct hashes, not empty."""
+def fragment_keys(own: np.ndarray, c: Classes) -> list[tuple[int, np.ndarray, int]]:
+    """(class, keys, need) for the set's own class and the next one; need is how many of the keys any set that links
+    with this one must share. own: sorted distinct hashes, not empty."""
     home, mixed = c.of(len(own)), mix(own)
     total = np.zeros(len(own) + 1, _U)
     np.cumsum(mixed, out=total[1:])
@@ -66,13 +68,15 @@ def fragment_keys(own: np.ndarray, c: Classes) -> list[tuple[int, np.ndarray]]:
     for k in (home, home + 1):
         parts = c.parts[k]
         numbers = np.arange(parts, dtype=_U)
-        # hashes whose high half times parts, divided by 2**32, is the fragment's number
+        # a hash whose high half times parts, divided by 2**32, is f lies in fragment f
         at = np.searchsorted(((own >> _U(32)) * _U(parts)) >> _U(32), np.arange(parts + 1, dtype=_U))
         keys = mix((total[at[1:]] - total[at[:-1]]) + mix(numbers + _U(k << 40)))
         empty = at[1:] == at[:-1]
-        if empty.sum() <= c.slack[k]:
-            keys = keys[~empty]
-        out.append((k, keys))
+        spare = int(empty.sum())
+        if spare <= c.slack[k]:
+            out.append((k, keys[~empty], c.slack[k] + 1 - spare))
+        else:
+            out.append((k, keys, c.slack[k] + 1))
     return out
 
 
@@ -109,54 +113,56 @@ def _heads(width: int, num: int, den: int):
     def run(batches):
         c = classes(num, den)
         for batch in batches:
-            n, d1, d2, home, keys, guest = [], [], [], [], [], []
+            n, d1, d2, home = [], [], [], []
             for text in batch.column("_text"):
                 own = set_of(text.as_py(), width)
                 n.append(len(own))
-                if not len(own):
-                    d1.append(None), d2.append(None), home.append(None), keys.append(None), guest.append(None)
-                    continue
-                a, b = digest(own)
-                (k, mine), (_, next_) = fragment_keys(own, c)
-                d1.append(_long(a)), d2.append(_long(b)), home.append(k), keys.append(_signed(mine)), guest.append(_signed(next_))
-            longs = pa.list_(pa.int64())
+                a, b = digest(own) if len(own) else (None, None)
+                d1.append(a if a is None else _long(a)), d2.append(b if b is None else _long(b)), home.append(c.of(len(own)) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(_signed(row_key(batch.column("_id")))), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(home, pa.int32()), pa.array(keys, longs), pa.array(guest, longs)],
-                names=["_id", "rk", "n", "d1", "d2", "home", "keys", "guest"],
+                [batch.column("_id"), pa.array(_signed(row_key(batch.column("_id")))), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(home, pa.int32())],
+                names=["_id", "rk", "n", "d1", "d2", "home"],
             )
 
     return run
 
 
-_HEADS = "_id long, rk long, n long, d1 long, d2 long, home int, keys array<long>, guest array<long>"
+_HEADS = "_id long, rk long, n long, d1 long, d2 long, home int"
 
 
-def _units(known: Bitmap | None):
-    """Rows (key, unit) of heads, those only whose key may be shared."""
+def _units(width: int, num: int, den: int, known: Bitmap | None):
+    """Rows (key, unit, need) of the texts, those only whose key may be known. Copies within a task emit once."""
 
     def run(batches):
+        c, seen = classes(num, den), set()
         for batch in batches:
-            for column, step in (("keys", 0), ("guest", 1)):
-                rows = batch.column(column)
-                lengths = np.diff(rows.offsets.to_numpy())
-                valid = np.asarray(rows.is_valid())
-                key = rows.flatten().to_numpy(zero_copy_only=False)
-                home = batch.column("home").to_numpy(zero_copy_only=False)
-                lengths = np.where(valid, lengths, 0)
-                u = np.zeros(len(lengths), np.int64)
-                for k in np.unique(home[valid]) if valid.any() else ():
-                    own = valid & (home == k)
-                    u[own] = _signed(unit_id(np.array(batch.column("d1").filter(pa.array(own)).to_pylist(), np.int64).view(_U), int(k) + step))
-                unit = np.repeat(u, lengths)
-                if known is not None:
-                    own = known.has(key)
-                    key, unit = key[own], unit[own]
+            rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for text in batch.column("_text"):
+                own = set_of(text.as_py(), width)
+                if not len(own):
+                    continue
+                a, _ = digest(own)
+                if a in seen:
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()
+                seen.add(a)
+                for k, keys, need in fragment_keys(own, c):
+                    if known is not None:
+                        keys = keys[known.has(_signed(keys))]
+                    rows.append((_signed(keys), np.full(len(keys), _long(int(unit_id(a, k)[0])), np.int64), np.full(len(keys), need, np.int32)))
+            if rows:
+                key, unit, need = (np.concatenate(x) for x in zip(*rows))
                 for i in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(unit[i : i + 100_000])], names=["key", "unit"])
+                    z = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(unit[z]), pa.array(need[z])], names=["key", "unit", "need"])
 
     return run
 
 
+_UNITS = "key long, unit long, need int"
+
+
 def _sets(width: int, num: int, den: int, known: Bitmap):
     """Rows (unit, home, d1, d2, n, own) of the documents whose row key is known."""
 
@@ -253,13 +259,15 @@ def _links(num: int, den: int):
     return run
 
 
-def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = 256, block_bytes: int = 32 << 20) -> DataFrame:
+def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = 256, block_bytes: int = 32 << 20, broadcast_rows: int = 400_000, rounds: int = 2) -> DataFrame:
     """(id, n_shingles long, component_id) for each row of docs.
 
     Words are runs of non-space characters with A-Z lower-cased; a document's set holds its distinct windows of `width`
     words, or, with fewer words, all of them as one window. Two documents link if den * intersection >= num * union;
     component_id is the smallest id reachable by links, the document's own included.
 
+    Which groups sets are in is broadcast up to broadcast_rows rows of 20 bytes, and joined by a shuffle beyond that.
+
     Null and empty texts have no windows and link with nothing: component_id is their id. Null ids stay in their
     rows and are never a component's id, unless it has no other. Rows that repeat an id and text are each answered;
     other columns aren't read. Ids must be whole numbers. N-grams are compared by 64-bit hashes.
@@ -268,13 +276,19 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: i
     common.ship(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"))
     heads = common.written(rows.mapInArrow(_heads(width, num, den), _HEADS), "jaccard-heads")
-    keyed = heads.select("d1", "home", "keys", "guest").where("d1 IS NOT NULL")
-
-    # keys that two different sets share, and the smallest set of each: maxima and minima are taken before the shuffle
-    shared = keyed.mapInArrow(_units(None), "key long, unit long").groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("last")).where("hub <> last").select("key", "hub")
-    shared = common.written(shared, "jaccard-keys")
-    again = keyed.mapInArrow(_units(Bitmap.of(shared, "key")), "key long, unit long")
-    star = again.join(shared, "key").where("unit <> hub").select(F.col("unit").alias("a"), F.col("hub").alias("b")).distinct()
+    texts = rows.select("_text")
+
+    # keys that two different sets share: minima and maxima are taken before the shuffle
+    several = lambda df: df.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("last")).where("hub <> last").select("key", "hub")
+    shared = common.written(several(texts.mapInArrow(_units(width, num, den, None), _UNITS)), "jaccard-keys")
+    again = texts.mapInArrow(_units(width, num, den, Bitmap.of(shared, "key")), _UNITS).join(shared.select("key"), "key").distinct()
+    for _ in range(rounds):
+        again = common.written(again, "jaccard-again")
+        enough = again.groupBy("unit").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("unit")
+        again = again.join(enough, "unit")
+        again = again.join(several(again).select("key"), "key").select("key", "unit", "need")
+    again = common.written(again, "jaccard-again")
+    star = again.join(several(again), "key").where("unit <> hub").select(F.col("unit").alias("a"), F.col("hub").alias("b")).distinct()
     groups = common.written(components(star).toDF("unit", "cluster"), "jaccard-groups")
 
     # one row of each set stands for it
@@ -286,7 +300,9 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: i
     units = nodes.select("rk", "n", F.col("d1"), F.col("home")).mapInArrow(_unit_rows, "rk long, n long, unit long").join(groups, "unit")
     units = common.written(units, "jaccard-units")
     count = units.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
-    plan = units.select("unit", "cluster").distinct().join(count, "cluster")
+    plan = common.written(units.select("unit", "cluster").distinct().join(count, "cluster"), "jaccard-plan")
+    if plan.count() <= broadcast_rows:  # else the sets are shuffled once more, to meet their plan
+        plan = F.broadcast(plan)
     sets = rows.mapInArrow(_sets(width, num, den, Bitmap.of(units, "rk")), "unit long, d1 long, d2 long, n long, own binary").join(plan, "unit")
     block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
