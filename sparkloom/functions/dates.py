@@ -19,7 +19,8 @@ def micros(ts: Column) -> Column:
 def freshness(updated: Column, as_of: Column) -> Column:
     """struct<days int, range string, index double>: age in whole days, its label by the exact age, and an index that
     halves every 180 days. Dates in the future have age 0, missing or bad ones are Unknown."""
-    age = F.greatest(F.lit(0.0), (micros(as_of) - micros(updated)) / F.lit(float(DAY)))
+    old = (micros(as_of) - micros(updated)) / F.lit(float(DAY))
+    age = F.when(old.isNotNull(), F.greatest(F.lit(0.0), old))  # greatest() alone passes over nulls
     label = F.when(age.isNull(), UNKNOWN)
     for days, name in RANGES:
         label = label.when(age <= days, name)

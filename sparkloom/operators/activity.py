@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.dates import DAY, micros
-from ..functions.urls import refers_to
+from ..functions.urls import REFERENCE, refers_to
 
 
 def release_cadence(releases: DataFrame, key: str, at: str, most: int | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def usage_records(projects: DataFrame, packages: DataFrame) -> DataFrame:
     projects: id, owner, repo; packages: registry, package, count, metric, repository. Candidates meet by the repository's
     name in lower case, then the whole reference is compared.
     """
-    name = F.lower(F.regexp_extract("repository", r"([\w.-]+?)(?:\.git)?(?:[/#?].*)?$", 1))
+    name = F.lower(F.regexp_extract("repository", REFERENCE, 2))
     rows = projects.withColumn("_n", F.lower("repo")).join(packages.withColumn("_n", name), "_n").where(refers_to(F.col("repository"), F.col("owner"), F.col("repo")))
     best = rows.groupBy("id", "registry").agg(F.max_by(F.struct("package", "count", "metric"), F.struct(F.col("count"), F.col("package"))).alias("b"))
     return best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("registry", "b.package", "b.count", "b.metric"))).alias("sources"))  # one row a registry

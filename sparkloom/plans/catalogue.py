@@ -179,7 +179,7 @@ def lists(spark, d):
 
 _LISTS = """i AS (SELECT l_suppkey, count(*) AS n, max(l_shipdate) AS last FROM lineitem GROUP BY ALL),
 g AS (SELECT s_suppkey AS id, s_name AS name, n_name AS topic, s_suppkey % 7 <> 0 AS public, CAST(floor(s_acctbal) AS BIGINT) AS stars, s_suppkey % 5 = 0 AS archived, CASE WHEN floor(s_acctbal) >= 0 THEN n END AS entry_count,
-        greatest(0.0, (epoch_us(TIMESTAMP '2001-11-20') - epoch_us(last)) / 86400000000.0) AS age FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN i ON l_suppkey = s_suppkey),
+        CASE WHEN last IS NOT NULL THEN greatest(0.0, (epoch_us(TIMESTAMP '2001-11-20') - epoch_us(last)) / 86400000000.0) END AS age FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN i ON l_suppkey = s_suppkey),
 l AS (SELECT *, CASE WHEN stars >= 100 THEN 'eligible' ELSE 'pending' END AS state, CAST(floor(age) AS INTEGER) AS fresh_days,
         CASE WHEN age IS NULL THEN 'Unknown' WHEN age <= 30 THEN 'Within 30 days' WHEN age <= 90 THEN 'Within 90 days' WHEN age <= 180 THEN 'Within 180 days' WHEN age <= 365 THEN 'Within 365 days' ELSE 'Older than a year' END AS fresh_range FROM g)"""
 
@@ -189,7 +189,7 @@ def freshness(spark, d):
     return read(spark, d, "orders").select("o_orderkey", at.alias("f")).select("o_orderkey", "f.days", "f.range", "f.index")
 
 
-FRESHNESS = """WITH a AS (SELECT o_orderkey, greatest(0.0, (epoch_us(TIMESTAMP '2000-06-01 12:00:00') - epoch_us(o_orderdate)) / 86400000000.0) AS age FROM orders)
+FRESHNESS = """WITH a AS (SELECT o_orderkey, CASE WHEN o_orderdate IS NOT NULL THEN greatest(0.0, (epoch_us(TIMESTAMP '2000-06-01 12:00:00') - epoch_us(o_orderdate)) / 86400000000.0) END AS age FROM orders)
 SELECT o_orderkey, CAST(floor(age) AS INTEGER) AS days, round(100 * pow(2.0, -age / 180), 1) AS index,
   CASE WHEN age IS NULL THEN 'Unknown' WHEN age <= 30 THEN 'Within 30 days' WHEN age <= 90 THEN 'Within 90 days' WHEN age <= 180 THEN 'Within 180 days' WHEN age <= 365 THEN 'Within 365 days' ELSE 'Older than a year' END AS range FROM a"""
 
