@@ -6,6 +6,7 @@ writes them with the record separator as line end, so archives can lie in any st
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -99,7 +100,8 @@ def _parse_files(batches):
     for batch in batches:
         for content in batch.column("content"):
             rows: list[tuple] = []
-            for f, block in parse(content.as_py()):
+            data = content.as_py()
+            for f, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 digest = re.sub("^sha1:", "", f.get("warc-payload-digest", ""))
                 body = block.partition(b"\r\n\r\n")[2]
                 if f["warc-type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
@@ -118,7 +120,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """One row for each record: record_id, record_type, refers_to_id, page_id, url, payload_digest, payload (null for
+    """One row for each record of archives, plain or gzip: record_id, record_type, refers_to_id, page_id, url, payload_digest, payload (null for
     revisits). A task holds one archive at a time."""
     common.ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse_files, _DDL)

@@ -1,0 +1,489 @@
+"""Operators of sparkloom.llm on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import base64
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import public_tokenizers as P
+from sparkloom.llm import bpe, chunks, common, decontam, graph, hashing, jaccard, licenses, lines, quality, secrets, tools, warc
+
+RANKS, PATTERN = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def engine():
+    return bpe.PrefixBPE(bpe.load_ranks(RANKS), PATTERN)
+
+
+def words(r, n, vocabulary=60):
+    return [r.choice(["the", "of", "é", "Straße", "x1"]) if r.random() < 0.3 else "w" + str(r.randrange(vocabulary)) for _ in range(n)]
+
+
+# --- byte-level BPE -------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(engine, encoder):
+    r = random.Random(1)
+    for _ in range(400):
+        text = "".join(r.choice("abcdeinst éü中!?# \n\t'0123😀") for _ in range(r.randint(0, 60)))
+        ids = engine.encode(text)
+        assert ids == encoder.encode_ordinary(text) and engine.decode(ids) == text.encode()
+    for token in engine.tokens[::97]:
+        assert engine.piece(token) == [engine.ids[token]]
+
+
+def test_bpe_states(engine):
+    """Appends and edits give what encoding anew gives, and every prefix's encoding is there."""
+    r = random.Random(2)
+    state, data = bpe.PrefixState(), b""
+    for _ in range(60):
+        more = bytes(r.choice(b"abcinst o") for _ in range(r.randint(1, 6)))
+        engine.extend(state, more)
+        data += more
+        assert engine.tokens_of(state) == engine.merged(data)
+    for _ in range(40):
+        a, z = sorted(r.choices(range(len(data) + 1), k=2))
+        new = bytes(r.choice(b"abcinst o") for _ in range(r.randint(0, 5)))
+        engine.edit(state, a, z, new)
+        data = data[:a] + new + data[z:]
+        assert bytes(state.data) == data and engine.tokens_of(state) == engine.merged(data)
+    assert all(engine.merged(data[:k])[-1] == state.last[k] for k in range(1, len(data) + 1))
+
+
+def test_bpe_blocks(engine, encoder):
+    r = random.Random(3)
+    text = " ".join(words(r, 3000)) + "\n\n  " + "x" * 5000 + "  end"
+    parts = list(bpe.blocks(text, 500))
+    assert "".join(parts) == text and len(parts) > 5
+    assert [t for p in parts for t in engine.encode(p)] == encoder.encode_ordinary(text)
+
+
+def test_bpe_rows(spark, encoder):
+    texts = [None, "", "a b", "a b", " x" * 100_000, "\x00é "]
+    df = spark.createDataFrame([(None if i == 3 else i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    got = bpe.encode_documents(df, RANKS, PATTERN, with_tokens=True).collect()
+    assert len(got) == len(texts)
+    for t, r in zip(texts, sorted(got, key=lambda r: 3 if r.doc_id is None else r.doc_id)):
+        ids = encoder.encode_ordinary(t or "")
+        assert (r.n_tokens, r.tokens, r.decoded_sha256) == (len(ids), ids, hashlib.sha256((t or "").encode()).hexdigest())
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert bpe.encode_documents(df.limit(0), RANKS, PATTERN).count() == 0
+
+
+# --- decontamination ------------------------------------------------------------------------------------------------
+
+
+def brute_hits(text, items, width):
+    own = decontam.words_of(text)
+    hit, found = set(), set()
+    for item, t in items:
+        w = decontam.words_of(t)
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            x = w[i : i + width]
+            for j in range(len(own) - len(x) + 1):
+                if own[j : j + len(x)] == x:
+                    hit |= set(range(j, j + len(x)))
+                    found.add(item)
+    return len(own), len(hit), found
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_decontamination(spark, block_bytes):
+    r = random.Random(4)
+    items = [(i, " ".join(words(r, r.choice([0, 1, 2, 9, 10, 14, 40]), 8))) for i in range(25)] + [(7, "w1 w2"), (None, "w3 w4 w5 w6 w7"), (99, None)]
+    docs = [(i, " ".join(words(r, r.randint(0, 120), 8)) + r.choice(["", "!", " " + items[r.randrange(20)][1].upper() + ".", "…"])) for i in range(60)] + [(None, None), (5, ""), (5, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("clash")).withColumn("runs", F.lit(1))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_windows(d.select("doc_id", "text"), b, 10, block_bytes=block_bytes, keep=("doc_id", "text")).collect()
+    assert len(found) == len(docs)
+    for x in found:
+        n, hit, who = brute_hits(x.text, items, 10)
+        assert (x.n_words, sum(x.runs[1::2]) - sum(x.runs[::2])) == (n, hit)
+        assert x["items"] == sorted(str(i) for i in who if i is not None)
+    kept = decontam.decontaminate(d, b, 10).collect()
+    assert len(kept) == sum(not x.runs for x in found) and kept[0]["items"] == "clash"
+    assert decontam.find_windows(d, b.limit(0)).where(F.size("runs") > 0).isEmpty() and decontam.find_windows(d.limit(0), b).isEmpty()
+
+
+# --- secrets --------------------------------------------------------------------------------------------------------
+
+
+def test_secret_patterns():
+    spans = lambda t: [(secrets.KINDS[k], t[s:e]) for s, k, e in secrets.base_spans(t)]
+    assert spans('x Token = "abc123" y') == [("assign", 'Token = "abc123')]
+    assert spans("token:token:abcdefgh") == [] and spans("paſſword=abcdefgh") == []
+    assert spans("AKIA" + "A" * 15) == [] and spans("AKIA" + "A" * 16) == [("access", "AKIA" + "A" * 16)]
+    h = "0123456789abcdef" * 2
+    assert spans(f"secret={h}") == [("assign", f"secret={h}"), ("hex", h)] and spans("é" + h)[0] == ("hex", h) and spans("a" * 23) == []
+
+
+def test_crf_viterbi_is_the_best_path():
+    r = np.random.default_rng(1)
+    model = secrets.Crf(r.normal(size=(secrets._SIZE, 3)), r.normal(size=(3, 3)))
+    for n in range(1, 6):
+        slots = [r.integers(0, secrets._SIZE, 4) for _ in range(n)]
+        e = model.scores(slots)
+
+        def score(path):
+            s = e[0][path[0]] + model.move[0][path[0]]
+            return s + sum(model.move[a][b] + e[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:])))
+
+        allowed = [p for p in itertools.product(range(3), repeat=n) if p[0] != 2 and all((a, b) != (0, 2) for a, b in zip(p, p[1:]))]
+        assert model.viterbi(slots) == list(max(allowed, key=score))
+
+
+def test_crf_held_out_accuracy():
+    model = secrets.trained()
+    hit = wrong = missed = 0
+    for text, spans in secrets.training_lines(300, seed=977):
+        want = []
+        for s, e in spans:
+            if want and s - want[-1][1] == 1:
+                want[-1] = (want[-1][0], e)
+            else:
+                want.append((s, e))
+        got = set(secrets.crf_spans(text, model))
+        hit, wrong, missed = hit + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+    assert hit / (hit + wrong) > 0.85 and hit / (hit + missed) > 0.85
+
+
+def test_crf_runs_fall_apart_at_plain_words():
+    model, text = secrets.trained(), "deploy key ghp_A8sK2mQ9xV4bN7cR1tY6wE3z then words until bearer Zk81hsQ0plM22vVt again"
+    whole = secrets.crf_spans(text, model)
+    assert [text[a:b] for a, b in whole] == ["ghp_A8sK2mQ9xV4bN7cR1tY6wE3z", "Zk81hsQ0plM22vVt"]
+
+
+def test_secret_rows(spark):
+    long = "word " * 50_000 + "password=hunter22x"
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "token = 'abcdef1'"), (3, "token = 'abcdef1'"), (4, long), (None, "a" * 200_000)], "doc_id long, text string").withColumn("spans", F.lit("clash"))
+    got = {(r.doc_id, len(r.spans)) for r in secrets.scan(df).collect()}
+    assert {(1, 0), (2, 0), (3, 1), (4, 1)} <= got and secrets.scan(df).count() == 6
+    red = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert red[1].text is None and red[3].text == "[SECRET]'" and red[4].text.endswith("word [SECRET]") and red[3].spans == "clash"
+    assert secrets.scan(df.limit(0)).isEmpty()
+    assert secrets._redacted("abcdefgh", [(1, 0, 4), (2, 2, 6)], "#") == "a#gh"
+
+
+# --- line rules, licences, tool calls ---------------------------------------------------------------------------------
+
+
+def test_repeated_words(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 30))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", lines.repeated_words(lines.words_of(F.col("t"))).alias("n"))
+    got = {x.i: x.n for x in df.collect()}
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        covered = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)}
+        assert got[i] == len(covered), t
+
+
+def test_line_rules(spark):
+    good = "This is a fine sentence about many different things that go on for a while.\n"
+    body = "".join(" ".join(f"w{i}x{k}" for k in range(12)) + ".\n" for i in range(8))
+    rows = [(1, None, "x"), (2, "", "x"), (3, body + "Home | About | News | Mail\nSign in\nplease accept cookies now, dear reader of pages.\n", "x"), (4, "A!! B!! C!! D!! E!!\n" * 3 + body, "x"), (5, good + good, "x"), (5, good + good, "x"), (None, "x " * 100_000, "x")]
+    got = lines.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, rules string")).collect()
+    by = {r.doc_id: r.rules for r in got}
+    assert len(got) == 7 and by[1].base_failed and not by[1].kept and by[1].clean_text == "" and by[2].n_words == 0
+    assert (by[3].n_failed_lines, by[3].kept) == (3, True) and by[3].clean_text == body.strip("\n")
+    assert by[4].n_failed_lines == 3 and by[4].n_dup_lines == 2 and by[5].n_dup_lines == 1
+    assert by[None].n_words == 100_000 and by[None].base_failed
+    assert lines.clean_lines(spark.createDataFrame([], "text string")).isEmpty()
+
+
+def test_licenses(spark):
+    mit = licenses.TEMPLATES[10][1]
+    rows = [(1, "Released under the MIT License."), (2, "X\n" + mit.upper()), (3, " ".join(mit.split()[:9])), (4, None), (5, ""), (6, "mit\nlicense apache license MIT License general public license"), (6, "mit\nlicense apache license MIT License general public license"), (None, "license " * 20_000)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit(1))).collect()
+    by = {r.doc_id: r.license for r in got}
+    assert len(got) == 8
+    assert by[1].labels == ["mit"] and by[1].score == 1.0 and by[1].places == [3]
+    assert by[2].labels == ["mit"] and by[2].base_labels == [] and by[3].labels == [] and by[3].score == 0.0
+    assert by[4].n_words == by[5].n_words == 0 and by[4].labels == []
+    assert by[6].base_labels == ["apache", "gpl", "mit"] and by[6].places == [0, 2, 4, 6]
+    assert by[None].n_words == 20_000
+    assert licenses.needed(10, "0.8") == 8 and licenses.needed(7, "0.8") == 6 and licenses.needed(1, "0.1") == 1
+
+
+def test_license_join_equals_brute_force(spark):
+    r = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(30)]
+    templates = tuple((f"l{i}", " ".join(r.sample(vocabulary, r.randint(1, 9)))) for i in range(8))
+    texts = ["\n".join(" ".join(r.choices(vocabulary, k=r.randint(0, 14))) for _ in range(3)) for _ in range(120)]
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates, threshold="0.7").collect()}
+    for i, t in enumerate(texts):
+        pairs = [(label, len(set(line.split()) & set(x.split())) / len(set(x.split()))) for line in t.split("\n") for label, x in templates]
+        hits = [(label, c) for label, c in pairs if c >= 0.7 - 1e-12]
+        assert got[i].labels == sorted({x for x, _ in hits}) and got[i].score == pytest.approx(max([c for _, c in hits], default=0.0))
+
+
+def test_tool_levels(spark):
+    e = [("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("b", "a"), (None, "a")] + [(f"k{i}", f"k{i - 1}") for i in range(1, 70)] + [("m", "k60"), ("m", "d")]
+    got = {r.id: r.level for r in tools.levels(spark.createDataFrame(e, "id string, needs string")).collect()}
+    want = {"b": 1, "c": 2, "d": 3, "x": None, "y": None, "z": None, "m": 61} | {f"k{i}": i for i in range(1, 70)}
+    assert got == want
+    assert tools.levels(spark.createDataFrame([], "id string, needs string")).isEmpty()
+
+
+def test_tool_calls(spark):
+    schemas = {"t": {"n": {"type": "integer", "required": True, "minimum": 0}, "s": {"type": "string", "enum": ["a"]}, "a": {"type": "array"}, "x": {"type": "number"}}}
+    calls = [("1", "t", '{"n": 1, "s": "a", "a": [1], "x": 1.5}', "l"), ("2", "t", '{"n": -1, "s": "b", "u": 1}', "l"), ("3", "t", '{"n": "1", "a": {}}', "l"), ("4", "t", "{bad", "l"), ("5", "q", "{}", "l"), ("6", "t", "[1]", "l"), (None, "t", '{"n": null}', "l"), ("1", "t", '{"s":"a","n":2}', "l")]
+    results = [("1", 5, "late"), ("1", 3, "first"), ("9", 1, "none asked"), (None, 1, "x")]
+    c = spark.createDataFrame(calls, "call_id string, name string, arguments string, link string")
+    got = tools.link_calls(c, spark.createDataFrame(results, "call_id string, result_turn long, content string"), spark.createDataFrame([("2", "1"), ("3", "2"), ("4", "none")], "id string, needs string"), schemas).collect()
+    assert len(got) == len(calls)
+    by = {(r.call_id, r.arguments): r.link for r in got}
+    errors = [by[(x[0], x[2])].errors for x in calls]
+    assert errors == [[], ["range:n", "range:s", "unknown:u"], ["type:a", "type:n"], ["json"], ["tool"], ["json"], ["missing:n"], []]
+    first = by["1", calls[0][2]]
+    assert (first.result_turn, first.n_results, first.level) == (3, 2, 0)
+    assert first.message == '{"arguments":{"a":[1],"n":1,"s":"a","x":1.5},"id":"1","name":"t","result":"first"}'
+    assert by["3", calls[2][2]].level == 2 and by["4", "{bad"].message is None and by["5", "{}"].n_results == 0
+    assert tools.link_calls(c.limit(0), spark.createDataFrame([], "call_id string, result_turn long, content string"), spark.createDataFrame([], "id string, needs string"), schemas).isEmpty()
+
+
+# --- Jaccard join, components, chunks -------------------------------------------------------------------------------
+
+
+def test_hashes():
+    r = random.Random(7)
+    seen = {}
+    for _ in range(50):
+        text = "".join(r.choice("ab é\t\n\x0b ") for _ in range(r.randint(0, 80))).encode()
+        own = hashing.word_hashes(text)
+        assert len(own) == len(text.split())
+        for w, h in zip(text.split(), own.tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert len(set(hashing.word_hashes(b"ab cd\n" * 400_000).tolist())) == 2 and len(hashing.word_hashes(b"a" * 3_000_000)) == 1
+
+
+def brute_components(rows, width, num, den):
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().translate(hashing.LOWER).split()
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+            label[find(a)] = find(b)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(find(k), []).append(i)
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in ids.items()}
+    return sorted(((i, len(sets[k]), least[find(k)]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def noisy(r, base, share):
+    return [w if r.random() > share else "n" + str(r.randrange(10**6)) for w in base]
+
+
+@pytest.mark.parametrize(("width", "num", "block_sets", "broadcast_rows"), [(3, 90, 256, 10**6), (5, 80, 7, 0)])
+def test_jaccard(spark, width, num, block_sets, broadcast_rows):
+    r = random.Random(8)
+    passage = words(r, 60, 10**6)
+    rows = []
+    for g in range(12):
+        base = words(r, r.choice([4, 12, 40, 150, 300]), 10**6)
+        rows += [" ".join(noisy(r, base, r.choice([0, 0.003, 0.01, 0.03, 0.1]))) for _ in range(r.choice([1, 3, 14]))]
+    rows += [" ".join(words(r, r.randint(20, 90), 10**6) + passage) for _ in range(15)]
+    rows += ["", None, "one", "ONE", "one two", "  \n", "same text of five words", "Same  text of five words", "x " * 30_000]
+    rows += [rows[0], rows[0]]
+    ids = list(range(len(rows)))
+    r.shuffle(ids)
+    rows = [(None if k == 5 else i, t) for k, (i, t) in enumerate(zip(ids, rows))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("clash")).repartition(5)
+    got = jaccard.similarity_components(df, width, num, 100, block_sets=block_sets, broadcast_rows=broadcast_rows).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, width, num, 100)
+
+
+def test_jaccard_keeps_one(spark):
+    a, b = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    df = spark.createDataFrame([(4, a), (2, a), (9, a + " x"), (7, b), (None, ""), (8, None)], "doc_id long, text string")
+    assert sorted((r.doc_id for r in jaccard.keep_one(df).collect()), key=str) == [2, 7, 8, None]
+    assert jaccard.similarity_components(df.limit(0)).isEmpty()
+
+
+def test_jaccard_fragments():
+    """What the candidates rest on: linked sets share as many keys as either of them needs."""
+    r = np.random.default_rng(3)
+    for num in (80, 90):
+        c = jaccard.classes(num, 100)
+        for _ in range(300):
+            n = int(r.integers(1, 400))
+            x = np.unique(hashing.mix(r.integers(0, 2**63, n).astype(np.uint64)))
+            drop, add = int(r.integers(0, n // 8 + 1)), int(r.integers(0, n // 8 + 1))
+            y = np.unique(np.concatenate((x[drop:] if len(x) > drop else x, hashing.mix(r.integers(0, 2**63, add).astype(np.uint64)))))
+            both = len(np.intersect1d(x, y))
+            if 100 * both < num * (len(x) + len(y) - both):
+                continue
+            fx, fy = ({k: (set(keys.tolist()), need) for k, keys, need in jaccard.fragment_keys(s, c)} for s in (x, y))
+            top = max(c.of(len(x)), c.of(len(y)))
+            shared = len(fx[top][0] & fy[top][0])
+            assert shared >= max(fx[top][1], fy[top][1])
+
+
+def test_overlaps_and_forest():
+    r = np.random.default_rng(4)
+    sets = [np.unique(hashing.mix(r.integers(0, 500, 80).astype(np.uint64))) for _ in range(20)]
+    got = jaccard.overlaps(sets, width=16)
+    for i, j in itertools.combinations(range(20), 2):
+        assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    linked = np.zeros((6, 6), bool)
+    for a, b in ((0, 3), (3, 5), (1, 2)):
+        linked[a, b] = linked[b, a] = True
+    assert sorted(jaccard.forest(linked)) == [(0, 3), (0, 5), (1, 2)]
+
+
+def test_components(spark):
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(200, 200), (None, 1), (300, 301), (301, 300)]
+    got = {x.id: x.component for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            label.setdefault(a, a), label.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a is not None and a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    assert got == label
+    assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_gear():
+    r = np.random.default_rng(5)
+    data = r.integers(0, 256, 500).astype(np.uint8)
+    got, h = chunks.gear(data), 0
+    for i, b in enumerate(data.tolist()):
+        h = ((h << 1) + int(chunks._GEAR[b])) & 0xFFFFFFFF
+        if i >= 40:
+            assert int(got[i]) == h
+
+
+def test_cuts_resist_shifts():
+    r = random.Random(10)
+    text = " ".join(words(r, 4000, 5000)).encode()
+    a, b = (set(np.array(chunks.chunk_digests(t, chunks.cuts(t))).tolist()) for t in (text, text[:9000] + b"inserted words " + text[9000:]))
+    assert len(a - b) <= 6
+    ends = chunks.cuts(text)
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == len(text) and sizes.max() <= 96 and sizes[:-1].min() >= 8
+    odd = ("é" * 400).encode()
+    assert "".join(odd[s:e].decode() for s, e in zip([0, *chunks.cuts(odd)], chunks.cuts(odd))) == "é" * 400
+    whole = chunks.cuts(text, mask_bits=4)
+    old, chunks._PIECE = chunks._PIECE, 1000
+    try:
+        assert chunks.cuts(text, mask_bits=4) == whole
+    finally:
+        chunks._PIECE = old
+
+
+def test_repeated_passages(spark):
+    r = random.Random(11)
+    passage = " ".join(words(r, 60, 10**5))
+    own = lambda n: " ".join(words(r, n, 10**6))
+    docs = [(1, own(80) + " " + passage + " " + own(50)), (2, own(30) + " " + passage + " " + own(90)), (3, own(200)), (4, own(10)), (5, None), (6, ""), (7, passage), (7, passage), (None, own(20) + " " + passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("passages", F.lit(1))
+    got = {x.id: x for x in chunks.repeated_passages(df).collect()}
+    assert set(got) == {1, 2, 7, None} and not got[1].repeats and got[2].repeats and got[None].repeats
+    for i, text in docs:
+        if i in (1, 2):
+            covered = b"".join(text.encode()[p.start : p.end] for p in got[i].shared)
+            assert len(covered) > 0.6 * len(passage.encode()) and covered.decode() in passage
+    clean = {x.doc_id: x.text for x in chunks.without_repeats(df).collect()}
+    assert clean[1] == docs[0][1] and clean[3] == docs[2][1] and clean[5] is None and len(clean[2]) < len(docs[1][1]) - 150
+    assert chunks.repeated_passages(df.limit(0)).isEmpty()
+    assert chunks.repeated_passages(spark.createDataFrame([(1, own(300)), (1, own(300))], "doc_id long, text string")).isEmpty()
+
+
+# --- WARC, quality --------------------------------------------------------------------------------------------------
+
+
+def test_warc(spark, tmp_path):
+    big, other = "é\r\n\r\nWARC/1.1 " * 120, "y" * 1000
+    rows = [(1, "http://a\r\n/x", big), (5, "http://b/", big), (5, "http://b/", big), (3, None, big), (None, "http://n/", big), (7, "u", None), (8, "u", ""), (9, "u", "short"), (10, "u", "short"), (11, "u", other), (12, "u", other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit("clash"))
+    for compression in ("none", "gzip"):
+        path = f"file:{tmp_path}/{compression}"
+        warc.write_archives(df, path, compression=compression, records_per_file=3)
+        records = warc.read_archives(spark, path)
+        assert records.count() == len(rows)
+        got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.resolve(records).collect())
+        n = len(big.encode())
+        assert got == [(0, n, "response", None), (1, n, "revisit", 5), (3, n, "revisit", 5), (5, n, "response", None), (5, n, "response", None), (7, 0, "response", None), (8, 0, "response", None), (9, 5, "response", None), (10, 5, "response", None), (11, 1000, "revisit", 12), (12, 1000, "response", None)]
+        payloads = {r.page_id: r.payload for r in records.collect()}
+        assert bytes(payloads[5]) == big.encode() and payloads[1] is None and bytes(payloads[7]) == b""
+    assert warc.to_records(df.limit(0)).isEmpty()
+    with pytest.raises(ValueError):
+        list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
+
+
+def test_bradley_terry():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 4))
+    good = x[:, 0] - 0.5 * x[:, 1] + 0.1 * r.normal(size=400) > -0.4
+    model = quality.fit(x, good)
+    assert ((model.scores(x) >= 0.5) == good).mean() > 0.93
+    assert abs((model.scores(x) >= 0.5).mean() - good.mean()) < 0.01
+    assert (quality.fit(x, np.ones(400, bool)).scores(x) >= 0.5).all() and (quality.fit(x, np.zeros(400, bool)).scores(x) < 0.5).all()
+    assert (quality.fit(np.empty((0, 4)), np.empty(0, bool)).scores(x) >= 0.5).all()
+
+
+def test_quality_rows(spark):
+    good = "A fine text of plain sentences, written with care. It says something and then it ends."
+    bad = "BUY!! NOW!! ###$$$ | a | b | c |"
+    docs = [(i, (good + f" {i}" if i % 3 else bad * (1 + i % 4)), "clash") for i in range(90)] + [(200, None, "c"), (201, "", "c"), (None, good, "c"), (5, good, "c")]
+    labels = [(i, int(i % 3 > 0)) for i in range(90)] + [(3, 0), (None, 1), (7, None), (999, 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    l = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.learn(d, l)
+    got = quality.score(d.drop("score"), model).collect()
+    assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
+    assert all((r.score >= 0.5) == (r.doc_id % 3 > 0) for r in got if r.doc_id is not None and r.doc_id < 90 and r.doc_id != 5)
+    assert quality.keep_good(d, l).columns == d.columns
+    again = quality.learn(d.repartition(7), l.repartition(3))
+    assert np.allclose(again.weights, model.weights)
+    held = spark.range(50).select("id", quality.held_out(F.col("id")).alias("h")).collect()
+    import zlib
+
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in held)
+    assert quality.score(d.limit(0).drop("score"), model).isEmpty()
+
+
+def test_learned_labels_are_not_the_held_out_ones(spark):
+    """Wrong labels on held-out rows change nothing."""
+    docs = spark.createDataFrame([(i, f"Plain words number {i}." if i % 2 else "!! ## " * (i + 1)) for i in range(80)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    spoiled = labels.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert np.allclose(quality.learn(docs, labels).weights, quality.learn(docs, spoiled).weights)
+
+
+def test_shared_folder(spark):
+    df = spark.range(5)
+    kept = common.written(df, "x")
+    assert kept.count() == 5 and common.shared_dir(spark).removeprefix("file:") in kept.inputFiles()[0]
+    common.held("a")["k"] = 1
+    assert common.held("a") == {"k": 1} and common.held("b") == {} and common.held("a") == {}
