@@ -12,7 +12,6 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -153,11 +152,15 @@ class _Known(dict):
         return text
 
 
-@lru_cache(2)
 def _engine(tokens_path: str, pattern: str, cache_bytes: int) -> tuple[PrefixBPE, _Known, dict[bytes, bytes]]:
     """Kept by a worker from task to task."""
-    bpe = PrefixBPE(load_ranks(tokens_path), pattern, cache_bytes)
-    return bpe, _Known(bpe), {k[:-1]: t for k, t in zip(bpe.spelled, bpe.tokens)}
+    kept = common.held("bpe")
+    key = (tokens_path, pattern, cache_bytes)
+    if key not in kept:
+        kept.clear()
+        bpe = PrefixBPE(load_ranks(tokens_path), pattern, cache_bytes)
+        kept[key] = bpe, _Known(bpe), {k[:-1]: t for k, t in zip(bpe.spelled, bpe.tokens)}
+    return kept[key]
 
 
 #: Characters that are split and encoded in one go; cuts fall only where a match of the pattern ends anyway.

@@ -117,6 +117,7 @@ def _digests(limits: dict):
     """Rows (digest) of all units."""
 
     def run(batches):
+        common.held("chunks")
         for batch in batches:
             own = [units_of(t.as_py(), **limits)[0] for t in batch.column("_text")]
             whole = np.concatenate(own) if own else np.empty(0, np.int64)
@@ -130,6 +131,7 @@ def _places(known: Bitmap, limits: dict):
     """Rows (digest, id, key, at, end) of the units whose digest may be known."""
 
     def run(batches):
+        common.held("chunks")
         for batch in batches:
             columns: list[list] = [[] for _ in range(4)]
             ids, missing = [], []
@@ -197,6 +199,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.withColumn("_key", key).join(found, "_key", "left").select(*names, "_cut")
 
     def run(batches):
+        common.held("chunks")
         at = names.index(text_column)
         for batch in batches:
             new = [t if t is None or not c else _cut(t, c) for t, c in zip(batch.column(at).to_pylist(), batch.column("_cut").to_pylist())]

@@ -15,12 +15,26 @@ _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 _ROOT = Path(__file__).resolve().parents[1]
 
 
+#: What operators keep in a Python worker from task to task, by operator.
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """The owner's part of what this worker keeps. What others kept goes: a worker outlives the stages of a job, and one
+    operator's tables would count against the next one's memory."""
+    for other in [k for k in _HELD if k != owner]:
+        del _HELD[other]
+    return _HELD.setdefault(owner, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that workers can import it wherever they run."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long: 10,000 may be a GB
     sc = spark.sparkContext
     if sc in _SHIPPED:
         return

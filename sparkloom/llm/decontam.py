@@ -8,7 +8,6 @@ has there lets it skip ahead, a block that ends some patterns' first m bytes sel
 from __future__ import annotations
 
 import uuid
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -98,16 +97,13 @@ def merged_runs(runs: list[int]) -> list[int]:
     return out
 
 
-#: Matchers by block, kept by a worker from task to task.
-_MATCHERS: "OrderedDict[str, Matcher]" = OrderedDict()
-
-
 def _matcher(key: str, block, width: int) -> Matcher:
-    if key not in _MATCHERS:
-        while len(_MATCHERS) >= 2:
-            _MATCHERS.popitem(last=False)
-        _MATCHERS[key] = Matcher(block.value, width)
-    return _MATCHERS[key]
+    """Kept by a worker from task to task, one at a time."""
+    kept = common.held("decontam")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Matcher(block.value, width)
+    return kept[key]
 
 
 def item_blocks(benchmark: DataFrame, item_column: str, text_column: str, width: int, block_bytes: int):

@@ -111,6 +111,7 @@ def _long(x: int) -> int:
 
 def _heads(width: int, num: int, den: int):
     def run(batches):
+        common.held("jaccard")
         c = classes(num, den)
         for batch in batches:
             n, d1, d2, home = [], [], [], []
@@ -134,6 +135,7 @@ def _units(width: int, num: int, den: int, known: Bitmap | None):
     """Rows (key, unit, need) of the texts, those only whose key may be known. Copies within a task emit once."""
 
     def run(batches):
+        common.held("jaccard")
         c, seen = classes(num, den), set()
         for batch in batches:
             rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -167,6 +169,7 @@ def _sets(width: int, num: int, den: int, known: Bitmap):
     """Rows (unit, home, d1, d2, n, own) of the documents whose row key is known."""
 
     def run(batches):
+        common.held("jaccard")
         c = classes(num, den)
         for batch in batches:
             rows = []
@@ -242,6 +245,7 @@ def _links(num: int, den: int):
         return [(_name(*own[a][0]), _name(*own[b][0])) for a, b in forest(linked)]
 
     def run(batches):
+        common.held("jaccard")
         at, group = None, []
         for batch in batches:
             out = []

@@ -90,12 +90,14 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = 40_000, ridge: float = 1e-
 
 
 def _feature_rows(batches):
+    common.held("quality")
     for batch in batches:
         x = np.array([features(t.as_py()) for t in batch.column("_text")]).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["_label", "x"])
 
 
 def _score_rows(batches, model: BradleyTerry):
+    common.held("quality")
     for batch in batches:
         x = np.array([features(t.as_py()) for t in batch.column("_text")]).reshape(-1, len(FEATURES))
         names = [c for c in batch.schema.names if c != "_text"]

@@ -321,6 +321,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 def _scan(model: Crf):
     def run(batches):
+        common.held("secrets")
         for batch in batches:
             found = [all_spans(t.as_py() or "", model)[1] for t in batch.column("_text")]
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found]
@@ -351,6 +352,7 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]", m
     model, at = model or trained(), docs.columns.index(text_column)
 
     def run(batches):
+        common.held("secrets")
         for batch in batches:
             new = [t if t is None else _redacted(t, all_spans(t, model)[1], mark) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
