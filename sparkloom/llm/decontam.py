@@ -199,3 +199,19 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     found = find_windows(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     n_hit = hit_words(F.col("runs"))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LIST = f"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_GAPS}'), lambda x: x <> '')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LIST} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS k, w FROM (SELECT item_id, {_LIST} AS w FROM benchmark) WHERE len(w) > 0),
+t AS (SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+s AS (SELECT rid, i, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t))),
+h AS (SELECT rid, i, k, item FROM s JOIN t USING (k, g)),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM h) GROUP BY rid),
+m AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from . import chunks, jaccard, licenses, lines, tools, warc
+from . import chunks, decontam, jaccard, licenses, lines, tools, warc
 from .bpe import op6_bpe
-from .decontam import op7_decontamination
 from .quality import op10_quality
 from .secrets import op2_secrets
 
@@ -15,7 +14,7 @@ QUERIES = {
     "op4_tool_calls": tools.op4_tool_calls,
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_bpe": op6_bpe,
-    "op7_decontamination": op7_decontamination,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_chunks": chunks.op8_chunks,
     "op9_warc": warc.op9_warc,
     "op10_quality": op10_quality,
@@ -26,5 +25,6 @@ ORACLE_SQL = {
     "op4_tool_calls": tools.SQL,
     "op1_line_rules": lines.SQL,
     "op5_jaccard": jaccard.SQL,
+    "op7_decontamination": decontam.SQL,
     "op9_warc": warc.SQL,
 }

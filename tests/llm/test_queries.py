@@ -1,0 +1,146 @@
+"""The registered queries of sparkloom.llm against DuckDB or brute force, on the smallest tables."""
+
+import base64
+import hashlib
+import itertools
+import os
+
+import duckdb
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import public_tokenizers as P
+from sparkloom.llm import common, decontam, entry, hashing, quality, secrets
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are missing")
+TABLES = "documents pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(entry.ORACLE_SQL))
+def test_query_equals_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = entry.QUERIES[name](spark, SF)
+    df.write.parquet(str(tmp_path / "out"))
+    con.execute(f"CREATE TABLE o AS {entry.ORACLE_SQL[name]}")
+    names = sorted(r[0] for r in con.execute("DESCRIBE o").fetchall())
+    assert names == sorted(df.columns)
+    a, b = f"SELECT {', '.join(names)} FROM '{tmp_path}/out/*.parquet'", f"SELECT {', '.join(names)} FROM o"
+    assert [con.execute(f"({x}) EXCEPT ALL ({y}) LIMIT 3").fetchall() for x, y in ((a, b), (b, a))] == [[], []]
+
+
+def documents(spark):
+    return {r.doc_id: r.text for r in common.table(spark, SF, "documents").collect()}
+
+
+def encoder():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def check_tokens(row, text, enc):
+    ids = enc.encode_ordinary(text or "")
+    assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    return ids
+
+
+def test_bpe_query(spark):
+    texts, enc = documents(spark), encoder()
+    got = entry.QUERIES["op6_bpe"](spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        check_tokens(r, texts[r.doc_id], enc)
+
+
+def test_secrets_query(spark):
+    texts = documents(spark)
+    for r in entry.QUERIES["op2_secrets"](spark, SF).collect():
+        base = secrets.base_spans(texts[r.doc_id] or "")
+        said = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+        assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def test_quality_query(spark):
+    got = {r.doc_id: r for r in entry.QUERIES["op10_quality"](spark, SF).collect()}
+    labels = common.table(spark, SF, "labels").collect()
+    own = [(got[r.doc_id], r.quality) for r in labels if got[r.doc_id].held_out]
+    assert sum(g.predicted == q for g, q in own) / len(own) > 0.9
+    assert all(0 <= g.score <= 1 and g.predicted == int(g.score >= 0.5) for g in got.values()) and len(got) == 200
+
+
+def test_repeats_query(spark):
+    """Documents that share fifty words in a row are found, and what is found is in another place too."""
+    texts = {i: t or "" for i, t in documents(spark).items()}
+    got = {r.doc_id: r for r in entry.QUERIES["op8_chunks"](spark, SF).collect()}
+    where: dict[str, set] = {}
+    for i, t in texts.items():
+        w = t.split(" ")
+        for k in range(len(w) - 49):
+            where.setdefault(" ".join(w[k : k + 50]), set()).add(i)
+    sharing = set().union(*(v for v in where.values() if len(v) > 1))
+    assert len(sharing - set(got)) <= 0.02 * len(sharing)
+    for r in got.values():
+        data = texts[r.doc_id].encode()
+        for a, z in (map(int, x.split(":")) for x in r.passages.split(",")):
+            part = data[a : a + 72]
+            assert data.find(part, data.find(part) + 1) > 0 or any(part in t.encode() for i, t in texts.items() if i != r.doc_id)
+
+
+def links(texts, width, share):
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().translate(hashing.LOWER).split()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    label = {i: i for i in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            label[y] = x
+    return {i: find(i) for i in sets}
+
+
+def test_pipeline_by_brute_force(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram jaccard join", "benchmark decontamination", "secret scan", "byte-level bpe"]
+    docs = common.table(spark, SF, "documents")
+    model = quality.learn(docs, common.table(spark, SF, "labels"))
+    texts = {i: t for i, t in documents(spark).items() if model.scores(quality.np.array([quality.features(t)]))[0] >= 0.5}
+    component = links(texts, 5, 0.8)
+    texts = {i: t for i, t in texts.items() if component[i] == i}
+    windows = set()
+    for r in common.table(spark, SF, "benchmark").collect():
+        w = decontam.words_of(r.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))}
+
+    def leaks(t):
+        w = decontam.words_of(t)
+        return any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+
+    crf = secrets.trained()
+    texts = {i: secrets._redacted(t, secrets.all_spans(t, crf)[1], "[SECRET]") for i, t in texts.items() if not leaks(t)}
+    got, enc = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}, encoder()
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        assert check_tokens(r, texts[i], enc) == r.tokens
+
+
+def test_stages_keep_columns(spark):
+    docs = common.table(spark, SF, "documents")
+    odd = docs.limit(30).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "s", 0)], docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert secrets.redact(odd).where(F.col("text").isNull()).count() == 1
