@@ -37,7 +37,7 @@ f AS (SELECT url, list_id, arg_min(title, (source_url, title)) AS title FROM c G
 
 
 def same_title(a, b):
-    return text.fast_title(a) == text.fast_title(b)
+    return a == b
 
 
 def project_dedup(spark, d):
