@@ -69,3 +69,13 @@ def split_partition(start: str, end: str, low: int, high: int | None, most: int
         mid = (low + top) // 2
         return [(start, end, low, mid), (start, end, mid + 1, high)]
     return None
+
+
+def published_repository(proposals: DataFrame, lists: DataFrame) -> DataFrame:
+    """proposals (url, parent_url) with list_id: the published list of the URL itself, or else of the repository that it was
+    forked from. Closing slashes and letter case don't count."""
+    plain = lambda c: F.lower(F.rtrim(F.col(c), F.lit("/")))
+    known = lists.where("public AND state = 'eligible'").select(plain("url").alias("_u"), F.col("id").alias("_id"))
+    own, parent = known.toDF("_a", "own_id"), known.toDF("_b", "parent_id")
+    rows = proposals.join(own, plain("url") == F.col("_a"), "left").join(parent, plain("parent_url") == F.col("_b"), "left")
+    return rows.select(*proposals.columns, F.coalesce("own_id", "parent_id").alias("list_id"))

@@ -155,3 +155,21 @@ def transition_allowed(rows: DataFrame, allowed: DataFrame) -> DataFrame:
 def status_outcome(status: Column) -> Column:
     """What an HTTP status says of a reported link: 404 and 410 dead, 200 to 399 alive, anything else for a person."""
     return F.when(status.isin(404, 410), "dead").when(status.between(200, 399), "alive").otherwise("queued")
+
+
+def registry(packs: DataFrame) -> DataFrame:
+    """packs (pack_id, path, enabled, errors long) with state: duplicate where an id occurs more than once, disabled, invalid
+    with errors, else valid."""
+    twice = packs.groupBy("pack_id").agg((F.count("*") > 1).alias("_twice"))
+    state = F.when(F.col("_twice"), "duplicate").when(~F.coalesce("enabled", F.lit(True)), "disabled").when(F.col("errors") > 0, "invalid").otherwise("valid")
+    return packs.join(twice, "pack_id", "left").withColumn("state", state).drop("_twice")
+
+
+def execution_target(requests: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
+    """requests (requested, configured, current, model) with target and basis: asked for, configured, the current agent, the first
+    model pattern that fits, or a question."""
+    by_model = F.lit(None).cast("string")
+    for pattern, target in reversed(models):
+        by_model = F.when(F.col("model").rlike(pattern), target).otherwise(by_model)
+    basis = F.when(F.col("requested").isNotNull(), "explicit").when(F.col("configured").isNotNull(), "configured").when(F.col("current").isNotNull(), "self").when(by_model.isNotNull(), "model").otherwise("clarification")
+    return requests.select("*", F.coalesce("requested", "configured", "current", by_model).alias("target"), basis.alias("basis"))

@@ -199,3 +199,48 @@ def text_findings(rows: DataFrame, key: str, text: str, longest: int = 2000) ->
     raw = F.col(text).rlike(r"(?i)(^|\n)(User|Assistant|Tool|System):") & (F.length(text) > longest)
     found = F.array(F.when(secret, F.struct(F.lit("blocker").alias("severity"), F.lit("evidence.secrets").alias("code"))), F.when(raw, F.struct(F.lit("high").alias("severity"), F.lit("evidence.raw-log").alias("code"))))
     return rows.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select(key, "f.severity", "f.code")
+
+
+def latest_evidence(criteria: DataFrame, observed: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """criteria (run_id, criterion, definition, candidate) with outcome and digest of the last observation of that definition
+    and candidate; missing without one."""
+    keys = ["run_id", "criterion", "definition", "candidate"]
+    last = observed.groupBy(*keys).agg(F.max_by(F.struct("outcome", "digest"), F.struct(*order)).alias("_l"))
+    return criteria.join(last, keys, "left").select(*criteria.columns, F.coalesce("_l.outcome", F.lit("missing")).alias("outcome"), F.col("_l.digest").alias("digest"))
+
+
+def latency_stats(calls: DataFrame, latency: str, failed: str) -> DataFrame:
+    """One row: calls, mean, median, least and largest latency of those that succeeded, and the rate of failures."""
+    ok = F.when(~F.col(failed), F.col(latency))
+    return calls.agg(F.count("*").alias("calls"), F.avg(ok).alias("mean"), F.median(ok).alias("median"), F.min(ok).alias("least"), F.max(ok).alias("largest"), F.round(F.avg(F.col(failed).cast("int")), 4).alias("failure_rate"))
+
+
+def tally(rows: DataFrame, value: str, expected: tuple[str, ...]) -> DataFrame:
+    """One row with a count for each expected value, 0 for those that don't occur."""
+    return rows.agg(*(F.count_if(F.col(value) == x).alias(x) for x in expected))
+
+
+def seal(rows: DataFrame, kind: str) -> DataFrame:
+    """rows with type, version and digest: SHA-256 of the record's canonical JSON without nulls and without the digest."""
+    from ..functions.digests import record_digest
+
+    names = [c for c in rows.columns if c not in ("type", "version", "digest")]
+    sealed = rows.select(*names, F.lit(kind).alias("type"), F.lit(1).alias("version"))
+    return sealed.withColumn("digest", record_digest(F.to_json(F.struct(*sealed.columns))))
+
+
+def broken_seals(rows: DataFrame) -> DataFrame:
+    """Sealed records whose digest isn't that of their content, or no digest at all."""
+    from ..functions.digests import record_digest
+
+    names = [c for c in rows.columns if c != "digest"]
+    return rows.withColumn("_now", record_digest(F.to_json(F.struct(*names)))).where(~F.col("digest").eqNullSafe(F.col("_now"))).drop("_now")
+
+
+def conforms(rows: DataFrame, json: str, schema: str, enums: dict[str, list[str]] | None = None) -> DataFrame:
+    """rows with parsed (null where the JSON text doesn't fit the schema, or a field has a value outside its list)."""
+    parsed = F.from_json(json, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    ok = F.try_parse_json(json).isNotNull() & parsed["_bad"].isNull()
+    for name, allowed in (enums or {}).items():
+        ok = ok & F.coalesce(parsed[name].isin(*allowed), F.lit(False))
+    return rows.withColumn("parsed", F.when(ok, parsed.dropFields("_bad")))

@@ -260,3 +260,29 @@ def test_documents(spark, tmp_path):
     (tmp_path / "n.txt").write_text("3\t1\tsrc/a.py\n-\t-\tb.png\nnoise\n")
     assert {r.path: (r.added, r.deleted) for r in documents.change_sizes(spark, f"file:{tmp_path}/n.txt").collect()} == {"src/a.py": (3, 1), "b.png": (None, None)}
     assert documents.file_digests(spark, f"file:{tmp_path}/n.txt").first().digest == hashlib.sha256((tmp_path / "n.txt").read_bytes()).hexdigest()
+
+
+def test_evidence_and_seals(spark):
+    c = spark.createDataFrame([("r", "a", "d", "c"), ("r", "b", "d", "c")], "run_id string, criterion string, definition string, candidate string")
+    o = spark.createDataFrame([("r", "a", "d", "c", "pass", "x", 1), ("r", "a", "d", "c", "fail", "y", 2), ("r", "a", "d", "old", "pass", "z", 3)], "run_id string, criterion string, definition string, candidate string, outcome string, digest string, seq long")
+    assert {x.criterion: (x.outcome, x.digest) for x in process.latest_evidence(c, o).collect()} == {"a": ("fail", "y"), "b": ("missing", None)}
+    calls = spark.createDataFrame([(1.0, False), (3.0, False), (9.0, True)], "s double, bad boolean")
+    assert process.latency_stats(calls, "s", "bad").first().asDict() == {"calls": 3, "mean": 2.0, "median": 2.0, "least": 1.0, "largest": 3.0, "failure_rate": 0.3333}
+    assert process.tally(spark.createDataFrame([("a",), ("a",), (None,)], "v string"), "v", ("a", "b")).first().asDict() == {"a": 2, "b": 0}
+    s = process.seal(spark.createDataFrame([("1", 2.0, None)], "id string, n double, gone string"), "run-event")
+    assert s.first().digest == digest({"id": "1", "n": 2, "type": "run-event", "version": 1}) and process.broken_seals(s).isEmpty()
+    assert process.broken_seals(s.withColumn("n", F.lit(3.0))).count() == 1
+    j = spark.createDataFrame([('{"a": "x", "n": 1}',), ('{"a": "y", "n": 1}',), ('{"a": "x", "n": "no"}',), ("bad",), (None,)], "j string")
+    assert [x.parsed is not None for x in process.conforms(j, "j", "a string, n long", {"a": ["x"]}).collect()] == [True, False, False, False, False]
+
+
+def test_registry_and_targets(spark):
+    from sparkloom.operators import activity
+
+    p = spark.createDataFrame([("a", "1", True, 0), ("b", "2", True, 1), ("c", "3", False, 0), ("d", "4", None, 0), ("d", "5", True, 0)], "pack_id string, path string, enabled boolean, errors long")
+    assert {x.path: x.state for x in decisions.registry(p).collect()} == {"1": "valid", "2": "invalid", "3": "disabled", "4": "duplicate", "5": "duplicate"}
+    t = spark.createDataFrame([("x", "y", "z", "m1"), (None, "y", "z", "m1"), (None, None, "z", "m1"), (None, None, None, "m1-a"), (None, None, None, "q")], "requested string, configured string, current string, model string")
+    assert [(x.target, x.basis) for x in decisions.execution_target(t, [("^m1", "one"), ("^m", "any")]).collect()] == [("x", "explicit"), ("y", "configured"), ("z", "self"), ("one", "model"), (None, "clarification")]
+    lists = spark.createDataFrame([("1", "https://x/A/", True, "eligible"), ("2", "https://x/p", True, "pending")], "id string, url string, public boolean, state string")
+    q = spark.createDataFrame([("https://x/a", None), ("https://x/fork", "https://x/A"), ("https://x/p", None)], "url string, parent_url string")
+    assert [x.list_id for x in activity.published_repository(q, lists).orderBy("url").collect()] == ["1", "1", None]
