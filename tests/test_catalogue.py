@@ -242,3 +242,24 @@ def test_catalogue_search(spark):
     assert {r.title for r in explore.first_occurrence(df, "s2").collect()} == {"A2", "B1"}
     e = spark.createDataFrame([("Tool", "c", {"Language": "Rust"}), ("Box", "d", {})], "title string, category string, properties map<string,string>")
     assert explore.entries_where(e, "rust tool").count() == 1 and explore.entries_where(e, "", "d").count() == 1
+
+
+def test_list_profiles(spark):
+    from sparkloom.functions.markdown import parse_readmes
+    from sparkloom.operators import lists
+
+    text = "# Awesome things\n\nA curated list of Python tools.\n\n## Tools\n" + "".join(f"- [T{i}](https://example.org/{i})\n" for i in range(5))
+    readmes = spark.createDataFrame([(i, "o/awesome-x", "a" * 40, "README.md", text) for i in ("1", "2")], "id string, name string, revision string, path string, markdown string")
+    meta = spark.createDataFrame(
+        [(i, "o/awesome-x", d, ["python"], p, s, "2026-01-01T00:00:00Z", "2026-01-31T00:00:00Z") for i, d, p, s in (("1", None, True, 500), ("2", "x", False, 500), ("3", "Plain", True, 500))],
+        "id string, name string, description string, github_topics array<string>, public boolean, stars long, content_updated_at string, observed_at string",
+    )
+    got = {r.id: r for r in lists.list_profiles(meta, parse_readmes(readmes), readmes).collect()}
+    assert (got["1"].state, got["1"].entry_count, got["1"].topics, got["1"].scope, got["1"].freshness.range) == ("eligible", 5, ["Software development"], lists.FALLBACK_SCOPE, "Within 30 days")
+    assert (got["2"].state, got["2"].entry_count, got["2"].unique_links) == ("excluded", None, None) and (got["3"].state, got["3"].entry_count) == ("pending", None)
+    details = spark.createDataFrame([("3", [("A",), ("B",)])], "repository_id string, entries array<struct<title:string>>")
+    c = lists.candidate_fields(lists.list_profiles(meta, parse_readmes(readmes), readmes), details, 1).collect()
+    assert [(r.id, r.sample) for r in c] == [("3", ["A"])]
+    hits = spark.createDataFrame([("7", "b", "u", None, -1, 2, False, "t2"), ("7", "a", "u", None, 5, 2, False, "t1")], "id string, name string, url string, description string, stars long, forks long, archived boolean, observed_at string")
+    assert [(r.name, r.stars) for r in lists.repository_rows(hits).collect()] == [("a", 5)]
+    assert lists.search_query("awesome", "2024-01-01", "2024-02-01", 100, None) == "awesome stars:100..* created:2024-01-01..2024-02-01"
