@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import math
 import os
 import tempfile
 import uuid
@@ -22,8 +26,13 @@ _HELD: dict[str, dict] = {}
 def held(owner: str) -> dict:
     """The owner's part of what this worker keeps. What others kept goes: a worker outlives the stages of a job, and one
     operator's tables would count against the next one's memory."""
-    for other in [k for k in _HELD if k != owner]:
+    others = [k for k in _HELD if k != owner]
+    for other in others:
         del _HELD[other]
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system, where the C library can do that
+            ctypes.CDLL(None).malloc_trim(0)
     return _HELD.setdefault(owner, {})
 
 
@@ -55,9 +64,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again. Survives the loss of executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it again. Survives the loss of executors.
+
+    rows: how many narrow rows df has at most, if that is known. So many tasks write it as a million rows each need:
+    loops over small tables would else leave a file for each shuffle partition in every round.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / 1_000_000)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

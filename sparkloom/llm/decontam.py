@@ -149,35 +149,39 @@ def find_windows(
     spark = docs.sparkSession
     common.ship(spark)
     out = docs.select(*keep, F.col(text_column).alias("_text"), F.lit(None).cast("array<int>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
-    schema = out.schema
-    for block in item_blocks(benchmark, item_column, item_text_column, width, block_bytes):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), uuid.uuid4().hex, width), schema)
-    return out.mapInArrow(_finish, out.drop("_text").withColumn("n_words", F.lit(0).cast("long")).schema)
+    between, done = out.schema, out.drop("_text").withColumn("n_words", F.lit(0).cast("long")).schema
+    blocks = item_blocks(benchmark, item_column, item_text_column, width, block_bytes)
+    block = next(blocks)
+    while block is not None:  # the last pass drops the texts: usually it is the only one, and a task needs one worker
+        following = next(blocks, None)
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), uuid.uuid4().hex, width, following is None), between if following is not None else done)
+        block = following
+    return out
 
 
-def _pass(block, key: str, width: int):
+def _pass(block, key: str, width: int, last: bool):
     def run(batches):
         m = _matcher(key, block, width)
         for batch in batches:
-            runs, items = batch.column("runs").to_pylist(), batch.column("items").to_pylist()
+            runs, items, n = batch.column("runs").to_pylist(), batch.column("items").to_pylist(), []
             for i, text in enumerate(batch.column("_text")):
-                got, who = m.match(b" " + b" ".join(words_of(text.as_py())) + b" ")
+                words = words_of(text.as_py())
+                n.append(len(words))
+                got, who = m.match(b" " + b" ".join(words) + b" ")
                 if got:
                     runs[i] = merged_runs((runs[i] or []) + got)
                     items[i] = sorted({*(items[i] or []), *(w for w in who if w is not None)})
-            yield _replaced(batch, {"runs": pa.array(runs, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))})
+            if last:
+                runs, items = ([x or [] for x in c] for c in (runs, items))
+            batch = _replaced(batch, {"runs": pa.array(runs, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))})
+            if last:
+                names = [c for c in batch.schema.names if c != "_text"]
+                batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "n_words"])
+            yield batch
 
     return run
 
 
-def _finish(batches):
-    for batch in batches:
-        n = pa.array([len(words_of(t.as_py())) for t in batch.column("_text")], pa.int64())
-        out = _replaced(batch, {c: pa.array([x or [] for x in batch.column(c).to_pylist()], batch.schema.field(c).type) for c in ("runs", "items")})
-        names = [c for c in out.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*(out.column(c) for c in names), n], names=[*names, "n_words"])
-
-
 def _replaced(batch: pa.RecordBatch, new: dict) -> pa.RecordBatch:
     names = batch.schema.names
     return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)

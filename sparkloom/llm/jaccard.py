@@ -280,31 +280,34 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: i
     common.ship(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"))
     heads = common.written(rows.mapInArrow(_heads(width, num, den), _HEADS), "jaccard-heads")
+    n_rows = heads.count()
     texts = rows.select("_text")
 
     # keys that two different sets share: minima and maxima are taken before the shuffle
     several = lambda df: df.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("last")).where("hub <> last").select("key", "hub")
     shared = common.written(several(texts.mapInArrow(_units(width, num, den, None), _UNITS)), "jaccard-keys")
     again = texts.mapInArrow(_units(width, num, den, Bitmap.of(shared, "key")), _UNITS).join(shared.select("key"), "key").distinct()
+    n_again = None
     for _ in range(rounds):
-        again = common.written(again, "jaccard-again")
+        again = common.written(again, "jaccard-again", n_again)
+        n_again = again.count()
         enough = again.groupBy("unit").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("unit")
         again = again.join(enough, "unit")
         again = again.join(several(again).select("key"), "key").select("key", "unit", "need")
-    again = common.written(again, "jaccard-again")
+    again = common.written(again, "jaccard-again", n_again)
     star = again.join(several(again), "key").where("unit <> hub").select(F.col("unit").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = common.written(components(star).toDF("unit", "cluster"), "jaccard-groups")
+    groups = common.written(components(star).toDF("unit", "cluster"), "jaccard-groups", 2 * n_rows)
 
     # one row of each set stands for it
     name = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0")))
     small = heads.where("d1 IS NOT NULL").select("_id", "rk", "n", name.alias("node"), "d1", "home")
     nodes = small.groupBy("node").agg(F.min("_id").alias("first"), F.min("rk").alias("rk"), F.first("d1").alias("d1"), F.first("home").alias("home"), F.first("n").alias("n"))
-    nodes = common.written(nodes, "jaccard-nodes")
+    nodes = common.written(nodes, "jaccard-nodes", n_rows)
     # groups whose sets differ and are few enough for a block are a task each; larger ones are pairs of blocks
     units = nodes.select("rk", "n", F.col("d1"), F.col("home")).mapInArrow(_unit_rows, "rk long, n long, unit long").join(groups, "unit")
-    units = common.written(units, "jaccard-units")
+    units = common.written(units, "jaccard-units", 2 * n_rows)
     count = units.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
-    plan = common.written(units.select("unit", "cluster").distinct().join(count, "cluster"), "jaccard-plan")
+    plan = common.written(units.select("unit", "cluster").distinct().join(count, "cluster"), "jaccard-plan", 2 * n_rows)
     if plan.count() <= broadcast_rows:  # else the sets are shuffled once more, to meet their plan
         plan = F.broadcast(plan)
     sets = rows.mapInArrow(_sets(width, num, den, Bitmap.of(units, "rk")), "unit long, d1 long, d2 long, n long, own binary").join(plan, "unit")

@@ -67,14 +67,15 @@ def levels(edges: DataFrame) -> DataFrame:
     shared folder; no group is gathered anywhere.
     """
     edges = common.written(edges.where("id IS NOT NULL AND needs IS NOT NULL").distinct(), "edges")
+    n = edges.count()
     # where a pointer stands, how far it has come, and whether it can go on
     one = edges.groupBy("id").agg(F.count("*").alias("n"), F.first("needs").alias("at")).where("n = 1").select("id", "at", F.lit(1).cast("long").alias("far"))
-    steps = common.written(one, "steps")
+    steps = common.written(one, "steps", n)
     rounds = max(1, steps.count()).bit_length() + 1
     for _ in range(rounds):
         ahead = steps.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("far").alias("_far"))
         moved = steps.join(ahead, "at", "left").select("id", F.coalesce("_at", "at").alias("at"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far"), F.col("_at").isNotNull().alias("_on"))
-        moved = common.written(moved, "steps")
+        moved = common.written(moved, "steps", n)
         steps = moved.drop("_on")
         if moved.where("_on").isEmpty():
             break
@@ -84,7 +85,7 @@ def levels(edges: DataFrame) -> DataFrame:
     several = edges.join(steps.select("id"), "id", "left_anti")
     ends = steps.select(F.col("id").alias("needs"), F.col("at"), F.col("far").alias("_far"), F.lit(True).alias("_on"))
     pending = several.join(ends, "needs", "left").select("id", F.when(F.col("_on"), F.col("at")).otherwise(F.col("needs")).alias("at"), (F.coalesce("_far", F.lit(0)) + 1).alias("far"))
-    pending = common.written(pending, "pending")
+    pending = common.written(pending, "pending", n)
     path = f"{common.shared_dir(edges.sparkSession)}/levels-{uuid.uuid4().hex}"
     known = pending.select("id", F.col("far").alias("level")).limit(0)
     known.write.parquet(path)
@@ -94,11 +95,11 @@ def levels(edges: DataFrame) -> DataFrame:
         had = spark.read.schema(schema).parquet(path).toDF("at", "_level")
         now = pending.join(waiting, "at", "left").join(had, "at", "left")
         free = now.groupBy("id").agg(F.max(F.coalesce("_level", F.lit(0).cast("long")) + F.col("far")).alias("level"), F.max(F.coalesce("_wait", F.col("at").isNull())).alias("stop")).where("NOT stop").drop("stop")
-        free = common.written(free, "free")
+        free = common.written(free, "free", n)
         if free.isEmpty():
             break
         free.write.mode("append").parquet(path)
-        pending = common.written(pending.join(free, "id", "left_anti"), "pending")
+        pending = common.written(pending.join(free, "id", "left_anti"), "pending", n)
     known = spark.read.schema(schema).parquet(path)
     stuck = pending.select("id").distinct().withColumn("level", F.lit(None).cast("long"))
     base = known.unionByName(stuck)
