@@ -68,7 +68,7 @@ def to_records(pages: DataFrame, min_bytes: int = 1000, date: str = _DATE) -> Da
     return joined.select(F.concat(head, F.lit(_CRLF + _HTTP), F.when(revisit, "").otherwise(F.col("payload"))).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, records_per_file: int = 5000, compression: str = "none", date: str = _DATE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, records_per_file: int = 5000, compression: str = "gzip", date: str = _DATE) -> None:
     """Write archives of at most records_per_file records to a folder that all executors share."""
     to_records(pages, min_bytes, date).write.option("lineSep", _END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
