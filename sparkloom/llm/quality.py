@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from functools import partial
 
 import numpy as np
