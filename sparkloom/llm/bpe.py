@@ -54,13 +54,19 @@ class PrefixBPE:
         self.pairs: dict[int, bool] = {}
         self.pair_limit = pair_limit
         self.cache_bytes = cache_bytes
-        #: Lengths of the longer tokens by their last four bytes: the only long suffixes worth a look.
+        #: Lengths of the longer tokens by their last four bytes, the only long suffixes worth a look; then of all shorter ones.
+        self.ends = self._lengths(tokens)
+        #: The same without tokens that begin with a space: inside a piece that has spaces at its start only, these don't occur.
+        self.inner_ends = self._lengths([t for t in tokens if t[:1] != b" "])
+        self.spelled = [b"%d " % i for i in range(len(tokens))]
+
+    @staticmethod
+    def _lengths(tokens: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         ends: dict[bytes, set[int]] = {}
         for t in tokens:
             if len(t) >= 4:
                 ends.setdefault(t[-4:], set()).add(len(t))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
-        self.spelled = [b"%d " % i for i in range(len(tokens))]
+        return {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in ends.items()}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE by ranks, for short strings: defines which pairs are valid."""
@@ -86,18 +92,25 @@ class PrefixBPE:
         """Append bytes to a state; the entries before them stay as they are."""
         start = len(state.data)
         state.data += more
-        data, last, ids, ends, size, pairs = bytes(state.data), state.last, self.ids, self.ends, len(self.tokens), self.pairs
+        data, last, get, size, known, longest = bytes(state.data), state.last, self.ids.get, len(self.tokens), self.pairs.get, self.longest
+        ends, add, short = (self.ends if b" " in data[1:] else self.inner_ends).get, last.append, (3, 2, 1)
         for end in range(start + 1, len(data) + 1):
-            for n in (*ends.get(data[end - 4 : end], ()), 3, 2, 1) if end > 3 else range(end, 0, -1):
-                if n > end:
+            # the whole prefix is the longest candidate; before is -1 then: the token must only be reachable itself
+            token = get(data[:end]) if end <= longest else None
+            if token is not None and (known(token - size) or self.valid(-1, token)):
+                add(token)
+                continue
+            for n in ends(data[end - 4 : end], short) if end > 3 else short:
+                at = end - n
+                if at <= 0:
                     continue
-                token = ids.get(data[end - n : end])
+                token = get(data[at:end])
                 if token is None:
                     continue
-                before = last[end - n]  # -1 for the empty prefix, after which a token must only be reachable itself
-                found = pairs.get(before * size + token)
-                if found if found is not None else self.valid(before, token):
-                    last.append(token)
+                before = last[at]
+                found = known(before * size + token)
+                if found or found is None and self.valid(before, token):
+                    add(token)
                     break
             else:
                 raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
@@ -152,14 +165,31 @@ class _Known(dict):
         return text
 
 
-def _engine(tokens_path: str, pattern: str, cache_bytes: int) -> tuple[PrefixBPE, _Known, dict[bytes, bytes]]:
+class _Spoken(dict):
+    """Bytes of runs of ids in decimal text, by the table of tokens: the decoder sees ids only. Bounded: emptied when full."""
+
+    def __init__(self, bpe: PrefixBPE, limit: int):
+        self.table, self.size, self.limit = {k[:-1]: t for k, t in zip(bpe.spelled, bpe.tokens)}, 0, limit
+
+    def __missing__(self, ids: bytes) -> bytes:
+        data = b"".join(map(self.table.__getitem__, ids.split()))
+        if len(ids) <= 64:
+            self.size += 200 + len(ids) + len(data)
+            if self.size > self.limit:
+                self.clear()
+                self.size = 0
+            self[ids] = data
+        return data
+
+
+def _engine(tokens_path: str, pattern: str, cache_bytes: int) -> tuple[PrefixBPE, _Known, _Spoken]:
     """Kept by a worker from task to task."""
     kept = common.held("bpe")
     key = (tokens_path, pattern, cache_bytes)
     if key not in kept:
         kept.clear()
         bpe = PrefixBPE(load_ranks(tokens_path), pattern, cache_bytes)
-        kept[key] = bpe, _Known(bpe), {k[:-1]: t for k, t in zip(bpe.spelled, bpe.tokens)}
+        kept[key] = bpe, _Known(bpe), _Spoken(bpe, cache_bytes // 3)
     return kept[key]
 
 
@@ -184,24 +214,24 @@ def encode_rows(tokens_path: str, pattern: str, id_column: str = "doc_id", text_
     """For mapInArrow: ids and round trip of each text."""
 
     def run(batches):
-        bpe, known, by_decimal = _engine(tokens_path, pattern, cache_bytes)
+        bpe, known, spoken = _engine(tokens_path, pattern, cache_bytes)
         split = bpe.split
         for batch in batches:
             n, ids, back, rows = [], [], [], []
             for text in batch.column(text_column).to_pylist():
                 count, digest, decoded, first, own = 0, hashlib.sha256(), hashlib.sha256(), True, []
                 for part in blocks(text or ""):
-                    said = b"".join(map(known.__getitem__, split(part)))[:-1]
+                    pieces = list(map(known.__getitem__, split(part)))
+                    said = b"".join(pieces)
                     if said:
-                        digest.update(said if first else b" " + said)
+                        digest.update(said[:-1] if first else b" " + said[:-1])
                         first = False
-                        each = said.split(b" ")
-                        count += len(each)
-                        decoded.update(b"".join(map(by_decimal.__getitem__, each)))
+                        count += said.count(b" ")
+                        decoded.update(b"".join(map(spoken.__getitem__, pieces)))
                         if with_tokens:
-                            own.append(np.array(each, "S").astype(np.int32))
-                n.append(count)
+                            own.append(np.array(said.split(), "S").astype(np.int32))
                 ids.append(digest.hexdigest())
+                n.append(count)
                 back.append(decoded.hexdigest())
                 if with_tokens:
                     rows.append(np.concatenate(own) if own else np.empty(0, np.int32))
