@@ -1,7 +1,8 @@
 """License scan: an exact set-similarity join between text blocks and notice templates. Built-in functions only.
 
-A block (a line of a text) matches a template if it holds at least `threshold` of the template's distinct words. Words
-stand in one global order, rarest over the whole corpus first. A template of k words of which m are needed must
+A block matches a template if it holds at least `threshold` of the template's distinct words. Blocks are the lines of a
+text and, for notices wrapped over several lines, each window of its words that is as long as the template allows.
+Words stand in one global order, rarest over the whole corpus first. A template of k words of which m are needed must
 share one of its first k - m + 1 words with every block that matches (prefix filter); the block needs m template words
 (length filter), and enough of them must be left at the places where the two first meet (positional filter).
 """
@@ -48,18 +49,28 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, _GAPS), lambda w: w != "")
 
 
-def template_rows(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
-    """(number, label, distinct words in their order) of each template that has a word."""
+def template_words(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
+    """(label, words in their order, repeated ones too) of each template that has a word."""
     import re
 
     out = []
     for label, text in templates:
         lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-        if words := list(dict.fromkeys(w for w in re.split(_GAPS, lower) if w)):
-            out.append((len(out), label, words))
+        if words := [w for w in re.split(_GAPS, lower) if w]:
+            out.append((label, words))
     return out
 
 
+def template_rows(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
+    """(number, label, distinct words in their order) of each template that has a word."""
+    return [(i, label, list(dict.fromkeys(words))) for i, (label, words) in enumerate(template_words(templates))]
+
+
+def window_sizes(templates=TEMPLATES, threshold: str = "0.8") -> list[int]:
+    """By template number, how many words a window has: the most of which the template's words can be `threshold`."""
+    return [int(len(words) / Fraction(threshold)) for _, words in template_words(templates)]
+
+
 def word_order(docs: DataFrame, vocabulary: list[str], text_column: str = "text") -> dict[str, tuple[int, str]]:
     """For each word of the templates (so many at most) its document frequency over all of docs, the order's key."""
     known = F.array(*map(F.lit, vocabulary))
@@ -95,6 +106,33 @@ def matching_blocks(blocks: DataFrame, index: DataFrame, vocabulary: list[str])
     return pairs.where(shared >= F.col("need")).select(*keys, "label", "template", (shared / F.col("size")).alias("containment")).distinct()
 
 
+def matching_windows(near: DataFrame, index: DataFrame, rare: list[str], windows: list[int]) -> DataFrame:
+    """The join for notices that cross line ends: near (key columns and _t, the text) with templates: key columns, label,
+    template and containment, that of the best window around a place where text and template first meet.
+
+    Each place of a prefix word carries the words around it as far as the longest window reaches, so the rows are no
+    more than the places, and the work for each is bounded by the templates.
+    """
+    keys, reach = [c for c in near.columns if c != "_t"], max(windows, default=1)
+
+    def places(w: Column) -> Column:
+        def around(x: Column, i: Column) -> Column:
+            at = F.least(i, F.lit(reach - 1))
+            return F.when(x.isin(*rare), F.struct(x.alias("word"), at.alias("at"), F.slice(w, i - at + 1, at + reach).alias("around")))
+
+        return F.filter(F.transform(w, around), lambda x: x.isNotNull())
+
+    each = near.select(*keys, F.explode(let(words_of(F.col("_t")), places)).alias("_p")).select(*keys, "_p.*")
+    sizes = index.withColumn("window", F.element_at(F.array(*map(F.lit, windows)), F.col("template") + 1)) if windows else index.withColumn("window", F.lit(1))
+    pairs = each.join(F.broadcast(sizes), "word")
+    own = F.least("at", F.col("window") - 1)
+    pairs = pairs.select(*keys, "label", "template", "size", "need", "words", "place", "window", own.alias("at"), F.slice("around", F.col("at") - own + 1, own + F.col("window")).alias("around"))
+    left = F.size(F.array_intersect("around", F.slice("words", F.col("place") + 1, F.col("size") - F.col("place"))))
+    shared = F.array_max(F.transform(F.sequence(F.lit(0), "at"), lambda i: F.size(F.array_intersect(F.slice("around", i + 1, F.col("window")), "words"))))
+    best = pairs.where(left >= F.col("need")).select(*keys, "label", "template", "size", "need", shared.alias("shared"))
+    return best.where(F.col("shared") >= F.col("need")).select(*keys, "label", "template", (F.col("shared") / F.col("size")).alias("containment")).distinct()
+
+
 def phrase_places(words: Column) -> list[tuple[str, Column]]:
     """For each phrase its label and the places (from 0) where it starts."""
     def starts(phrase: tuple[str, ...]) -> Column:
@@ -109,11 +147,11 @@ def phrase_places(words: Column) -> list[tuple[str, Column]]:
     return [(label, starts(phrase)) for label, phrase in PHRASES]
 
 
-def scan_licenses(docs: DataFrame, text_column: str = "text", templates=TEMPLATES, threshold: str = "0.8", keep: list[str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_column: str = "text", templates=TEMPLATES, threshold: str = "0.8", keep: list[str] | None = None, wrapped: bool = False) -> DataFrame:
     """The columns of docs (or those in keep) and license struct: n_words long, places array<long> (starts of phrases, sorted),
     base_labels and labels array<string> (sorted), score double (the largest containment, 0 where no template matches).
 
-    Blocks are lines. Rows with equal text are answered alike; null and empty texts have no words, no labels and a
+    Blocks are lines; with wrapped, windows of words across line ends as well (matching_windows). Rows with equal text are answered alike; null and empty texts have no words, no labels and a
     score of 0. An existing column called license is replaced. Word frequencies are counted over all rows first; the
     only thing collected is a count for each word of the templates.
     """
@@ -142,14 +180,18 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", templates=TEMPLATE
     # blocks only of texts that hold a word of a prefix at all, one of each different text
     near = docs.select(lower.alias("_t"), F.xxhash64(text_column).alias("_h1"), F.xxhash64(F.reverse(F.col(text_column))).alias("_h2")).where(F.arrays_overlap(words_of(F.col("_t")), F.array(*map(F.lit, rare))))
     blocks = near.select("_h1", "_h2", F.explode(F.split("_t", "\n")).alias("_line")).select("_h1", "_h2", F.array_intersect(ordered, words_of(F.col("_line"))).alias("tokens")).where(F.size("tokens") > 0)
-    found = matching_blocks(blocks.distinct(), index, vocabulary).groupBy("_h1", "_h2").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_score"))
+    matches = matching_blocks(blocks.distinct(), index, vocabulary)
+    if wrapped:
+        # a window within a line has no more of a template than the line
+        matches = matches.unionByName(matching_windows(near.where(F.contains("_t", F.lit("\n"))), index, rare, window_sizes(templates, threshold)))
+    found = matches.groupBy("_h1", "_h2").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_score"))
     joined = own.join(found, ["_h1", "_h2"], "left")
     labels = F.array_sort(F.array_union("_base.base_labels", F.coalesce("_labels", F.array().cast("array<string>"))))
     return joined.select("_row.*", F.struct("_base.n_words", "_base.places", "_base.base_labels", labels.alias("labels"), F.coalesce("_score", F.lit(0.0)).alias("score")).alias("license"))
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
-    found = scan_licenses(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = scan_licenses(common.table(spark, sf_dir, "documents"), keep=["doc_id"], wrapped=True)
     places = F.col("license.places")
     return found.select(
         "doc_id", "license.n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),

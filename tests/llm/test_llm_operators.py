@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -230,6 +231,43 @@ def test_license_join_equals_brute_force(spark):
         assert got[i].labels == sorted({x for x, _ in hits}) and got[i].score == pytest.approx(max([c for _, c in hits], default=0.0))
 
 
+def test_wrapped_licenses(spark, tmp_path):
+    """Notices hard-wrapped as in real headers, with comment marks, have the label and score of the unwrapped ones."""
+    rows, want = [], {}
+    for label, text in licenses.TEMPLATES:
+        for width, mark in ((70, " * "), (40, "# "), (24, "// "), (10, "")):
+            want[len(rows)] = label
+            rows.append((len(rows), "/*\n" + "\n".join(mark + x for x in textwrap.wrap("Some words first. " + text + " and more of them", width, break_long_words=False, break_on_hyphens=False)) + "\n*/"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licenses.op3_licenses(spark, str(tmp_path)).collect()}
+    assert {label for _, label in want.items()} >= {"mit", "bsd", "isc", "mpl", "gpl"}
+    for i, label in want.items():
+        assert label in got[i].labels.split(",") and got[i].score == 1.0, rows[i]
+
+
+def test_wrapped_license_join_equals_brute_force(spark):
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(40)]
+    templates = tuple((f"l{i}", " ".join(r.choices(vocabulary, k=r.randint(3, 12)))) for i in range(8))
+    texts = ["\n".join(" ".join(r.choices(vocabulary, k=r.randint(0, 9))) for _ in range(r.randint(1, 6))) for _ in range(120)]
+    texts += ["x\n" + "v1 " * 5_000] + ["\n".join(x for w in t.split() for x in (r.choice(vocabulary), w)[r.random() < 0.8 :]) for _, t in templates]
+    sizes = licenses.window_sizes(templates, "0.7")
+    assert sizes == [len(x.split()) * 10 // 7 for _, x in templates]
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates, threshold="0.7", wrapped=True).collect()}
+    crossing = 0
+    for i, t in enumerate(texts):
+        hits, w = [], t.split()
+        for (label, x), n in zip(templates, sizes):
+            own = set(x.split())
+            of_lines = max(len(set(line.split()) & own) for line in t.split("\n"))
+            of_windows = max((len(set(w[k : k + n]) & own) for k in range(len(w))), default=0)
+            if max(of_lines, of_windows) / len(own) >= 0.7 - 1e-12:
+                hits.append((label, max(of_lines, of_windows) / len(own)))
+                crossing += of_windows > of_lines
+        assert got[i].labels == sorted({x for x, _ in hits}) and got[i].score == pytest.approx(max([c for _, c in hits], default=0.0))
+    assert crossing >= 5
+
+
 def test_tool_levels(spark):
     e = [("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("b", "a"), (None, "a")] + [(f"k{i}", f"k{i - 1}") for i in range(1, 70)] + [("m", "k60"), ("m", "d")]
     got = {r.id: r.level for r in tools.levels(spark.createDataFrame(e, "id string, needs string")).collect()}
