@@ -1,13 +1,15 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that tags tokens as begin, inside or outside
 of a secret.
 
-Tokens are runs of [A-Za-z0-9+/_.=-]. A token of fewer than 8 characters, or without a digit and of fewer than 20, can
-only be outside: that is part of the model. So the best path falls apart at such tokens, and Viterbi runs
-over each maximal run of the others, with the same result as over the whole text.
+Tokens are runs of [A-Za-z0-9+/_.=-]; what is assigned to a cue word by = is a token of its own. Every token near a cue
+word can be a secret, however short or plain. Elsewhere a token of fewer than 8 characters, or without a digit and of
+fewer than 20, can only be outside: that is part of the model. So the best path falls apart at such tokens, and Viterbi
+runs over each maximal run of the others, with the same result as over the whole text.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -30,6 +32,10 @@ _HINT = re.compile(r"passw|secret|token|api_?key")
 _DIGIT = re.compile(r"[0-9]")
 #: Tokens that may be secrets; the first look-behind keeps the search linear in long runs.
 _TOKEN = re.compile(rf"(?<![{_CHARS}])(?:(?=[A-Za-z+/_.=-]*[0-9])[{_CHARS}]{{8,}}|[{_CHARS}]{{20,}})")
+_ANY = re.compile(rf"[{_CHARS}]+")
+#: Cue words, with the rest of their word and the = behind it. Tokens that start so many characters before or after are near.
+_CUE = re.compile(r"(?:passw|passphrase|passcode|pwd|secret|token|bearer|credential|api_?key|(?:[_-]|\b(?:access|private|session|signing|encryption|deploy|auth)[ ])key)[A-Za-z_]*(=*)", re.I | re.A)
+_NEAR_BEFORE, _NEAR_AFTER = 32, 64
 KINDS = ("assign", "access", "hex", "crf")
 TAGS = ("O", "B", "I")
 
@@ -79,6 +85,20 @@ def token_features(token: str) -> list[str]:
 _BEFORE = re.compile(r"([A-Za-z_-]{1,24})?([^A-Za-z0-9\n]{0,6})$")
 
 
+def cue_features(left: str, token: str, gap: str) -> list[str]:
+    """How many words lie between the last cue word before the token and the token, with the signs before it and its form."""
+    last = None
+    for last in _CUE.finditer(left):
+        pass
+    if last is None:
+        return []
+    between = left[last.end() :]
+    n, sign = min(6, len(re.findall(r"\w+", between))), next((c for c in ":=" if c in last[1] + between), "")
+    form = "".join(k for k, p in (("a", r"[a-z]"), ("A", r"[A-Z]"), ("0", r"[0-9]")) if re.search(p, token[1:])) + ("^" if token[0].isupper() else "")
+    size = min(24, len(token)) // 3
+    return [f"cue:{n}:{sign}", f"cueform:{n}:{sign}:{form}", f"cuelen:{n}:{sign}:{size}", f"cueformlen:{n}:{sign}:{form}:{size}", f"cuegap:{n}:{sign}:{gap[-2:]}", f"cueword:{n}:{sign}:{token.lower()[:12]}", f"own:{bool(_CUE.match(token))}"]
+
+
 def context_features(text: str, start: int, end: int) -> list[str]:
     """Neighbouring words and the signs between them and the token."""
     left = text[max(0, start - 48) : start]
@@ -88,7 +108,7 @@ def context_features(text: str, start: int, end: int) -> list[str]:
     after = re.match(r"([^A-Za-z0-9\n]{0,4})([A-Za-z]{0,16})", text[end : end + 24])
     own = re.sub(r"[^a-z]+", "", word)
     cut = [own[i : i + 4] for i in range(max(0, len(own) - 3))]
-    return [f"prev:{own}", f"prev2:{before[0].lower() if before else ''}", f"gap:{gap[-3:]}", f"next:{after[2].lower()[:8]}", f"after:{after[1][:2]}", *(f"in:{c}" for c in cut)]
+    return [f"prev:{own}", f"prev2:{before[0].lower() if before else ''}", f"gap:{gap[-3:]}", f"next:{after[2].lower()[:8]}", f"after:{after[1][:2]}", *(f"in:{c}" for c in cut), *cue_features(left, text[start:end][:64], gap)]
 
 
 def file_features(text: str, n_tokens: int) -> list[str]:
@@ -97,16 +117,60 @@ def file_features(text: str, n_tokens: int) -> list[str]:
     return [f"file:{min(6, int(math.log2(1 + n_tokens)))}", f"dense:{min(9, int(100 * n_tokens / (1 + len(text) / 6)))}", f"code:{sum(head.count(c) > 2 for c in '={};')}"]
 
 
+def near_cues(text: str) -> tuple[list[tuple[int, int]], set[int]]:
+    """Stretches of the text near a cue word, joined where they meet, and the places where a token starts behind =."""
+    out: list[tuple[int, int]] = []
+    starts, at = set(), 0
+    while m := _CUE.search(text, at):
+        at = m.end()
+        if m[1]:
+            starts.add(at)
+        a, b = max(0, m.start() - _NEAR_BEFORE), at + _NEAR_AFTER
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out, starts
+
+
+def possible(text: str) -> list[tuple[int, int]]:
+    """Tokens that may be secrets, by their form alone."""
+    return [m.span() for m in _TOKEN.finditer(text)] if _DIGIT.search(text) or len(text) >= 20 else []
+
+
+def tokens_of(text: str) -> list[tuple[int, int]]:
+    """possible(text) and every token that starts near a cue word; at = behind a cue word a token is cut in two."""
+    found, (near, starts) = set(possible(text)), near_cues(text)
+    end = 0
+    for a, b in near:
+        a = max(a, end)
+        if a and _ANY.match(text[a - 1]) and (m := _ANY.match(text, a)):
+            a = end = m.end()  # within a token that starts before
+        for m in _ANY.finditer(text, a):
+            if m.start() >= b:
+                break
+            found.add(m.span())
+            end = m.end()
+    if not starts:
+        return sorted(found)
+    out, cuts = [], sorted(starts)
+    for a, b in sorted(found):
+        for c in cuts[bisect.bisect_right(cuts, a) : bisect.bisect_left(cuts, b)]:
+            out.append((a, c))
+            a = c
+        out.append((a, b))
+    return out
+
+
 def runs_of(text: str) -> list[list[tuple[int, int]]]:
-    """Maximal runs of possible tokens: nothing but signs and white space, and at most 8 of those, lies between them."""
+    """Maximal runs of the tokens that can be secrets: nothing but signs and white space, and at most 8 of those, lies
+    between them."""
     runs: list[list[tuple[int, int]]] = []
-    if not _DIGIT.search(text) and len(text) < 20:
-        return runs
-    for m in _TOKEN.finditer(text):
-        if runs and m.start() - runs[-1][-1][1] <= 8 and not re.search(r"\w", text[runs[-1][-1][1] : m.start()]):
-            runs[-1].append(m.span())
+    for a, b in tokens_of(text):
+        if runs and a - runs[-1][-1][1] <= 8 and not re.search(r"\w", text[runs[-1][-1][1] : a]):
+            runs[-1].append((a, b))
         else:
-            runs.append([m.span()])
+            runs.append([(a, b)])
     return runs
 
 
@@ -190,12 +254,16 @@ _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 #: Words before secrets and before harmless tokens, and prefixes of well-known key formats.
 _SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "access_key", "client_secret", "private_key", "bearer", "credential", "passphrase", "session_key", "signing_key", "webhook_secret", "db_password", "encryption_key"]
 _PLAIN_WORDS = ["version", "commit", "sha", "revision", "phone", "tel", "order", "invoice", "date", "ip", "host", "server", "mail", "email", "card", "account", "build", "release", "id", "ticket", "isbn", "model", "checksum", "path", "file", "url", "page", "figure", "call", "address"]
+_FUNCTION_WORDS = "the a an of to in for and or is are was must can may will not be by with from on at it this that each every when if has have need needs your their its reset expired holder holders based should used uses after before per".split()
+_HARMLESS_VALUES = "required optional none null true false string invalid expired missing see the a not your given always never needed used unknown".split()
 _PREFIXES = ["AKIA", "sk-", "ghp_", "xoxb-", "AIza", "glpat-", "SG.", "eyJ"]
 
 
-def training_lines(n: int = 2500, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
+def training_lines(n: int = 2500, seed: int = 11, plain: float = 0.0) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts by rule, from a seeded generator, with the spans of their secrets: settings, code, mails and prose with
-    invented words. They are no text of any corpus, so n bounds the work of training at any size of input."""
+    invented words. They are no text of any corpus, so n bounds the work of training at any size of input.
+
+    plain: the share of secrets that are short or have no digit; with it, cue words in prose come too."""
     r = random.Random(seed)
 
     def some(chars: str, a: int, b: int) -> str:
@@ -204,7 +272,34 @@ def training_lines(n: int = 2500, seed: int = 11) -> list[tuple[str, list[tuple[
     def word() -> str:
         return some(_LOWER, 2, 9)
 
+    def plain_secret() -> list[str]:
+        """Short, or without digits; only a cue word tells it."""
+        kind = r.randrange(6)
+        if kind == 0:
+            return [some(_LOWER, 3, 7) + some(_DIGITS, 1, 3)]
+        if kind == 1:
+            return ["".join(word().capitalize() for _ in range(r.randint(2, 3)))]
+        if kind == 2:
+            return [some(_LOWER, 11, 19)]
+        if kind == 3:
+            return [some(_UPPER + _LOWER, 7, 19)]
+        if kind == 4:
+            return [some(_UPPER + _LOWER + _DIGITS, 5, 7) + r.choice(_DIGITS)]
+        return [some(_UPPER + _DIGITS, 3, 3) + r.choice(_DIGITS) for _ in range(r.randint(2, 6))]
+
+    def after_cue() -> str:
+        """Prose behind a cue word: nothing in it is secret."""
+        first = r.choice([" ", " ", " ", "s ", ", ", ". ", ": ", " is "])
+        if first in (": ", " is "):
+            return first + r.choice(_HARMLESS_VALUES) + r.choice([" ", ". ", ", "]) + " ".join(prose() for _ in range(r.randint(0, 4)))
+        return first + " ".join(prose() for _ in range(r.randint(1, 6)))
+
+    def prose() -> str:
+        return r.choice(_FUNCTION_WORDS) if r.random() < 0.5 else word()
+
     def secret() -> list[str]:
+        if r.random() < plain:
+            return plain_secret()
         kind = r.randrange(8)
         if kind == 0:
             return [some("0123456789abcdef", 16, 64)]
@@ -247,7 +342,9 @@ def training_lines(n: int = 2500, seed: int = 11) -> list[tuple[str, list[tuple[
             text += " ".join(word() for _ in range(r.randint(0, 9)))
             text += r.choice([" ", "\n", ". ", "", ", "]) or " "
             roll = r.random()
-            if roll < 0.4:
+            if plain and r.random() < 0.3:
+                text += r.choice(_SECRET_WORDS).replace("_", " ") + after_cue() + r.choice(["", ".", ",", "\n"])
+            elif roll < 0.4:
                 parts = secret()
                 bare = len(parts[0]) >= 20 and len(parts) == 1 and r.random() < 0.35
                 if not bare:
@@ -272,7 +369,7 @@ def labelled_runs(lines) -> list[tuple[list[np.ndarray], list[int]]]:
     out = []
     for text, spans in lines:
         runs = runs_of(text)
-        own = file_features(text, sum(map(len, runs)))
+        own = file_features(text, len(possible(text)))
         for run in runs:
             tags, last = [], -2
             for a, b in run:
@@ -285,7 +382,7 @@ def labelled_runs(lines) -> list[tuple[list[np.ndarray], list[int]]]:
 
 @lru_cache(1)
 def trained(n: int = 2500) -> Crf:
-    return train(labelled_runs(training_lines(n)))
+    return train(labelled_runs(training_lines(n) + training_lines(n // 2, 12, 0.6)))
 
 
 # --- scanning -------------------------------------------------------------------------------------------------------
@@ -295,7 +392,7 @@ def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
     runs = runs_of(text)
     if not runs:
         return []
-    own, out = file_features(text, sum(map(len, runs))), []
+    own, out = file_features(text, len(possible(text))), []
     for run in runs:
         for tag, (a, b) in zip(model.viterbi(run_slots(text, run, own)), run):
             if tag == 1:

@@ -166,6 +166,32 @@ def test_crf_runs_fall_apart_at_plain_words():
     assert [text[a:b] for a, b in whole] == ["ghp_A8sK2mQ9xV4bN7cR1tY6wE3z", "Zk81hsQ0plM22vVt"]
 
 
+def test_crf_short_and_plain_secrets():
+    """Near a cue word any token can be a secret; prose behind a cue word is none."""
+    model = secrets.trained()
+    found = lambda t: [t[a:b] for a, b in secrets.crf_spans(t, model)]
+    assert found("pwd: hunter2") == ["hunter2"] and found("passphrase: CorrectHorse") == ["CorrectHorse"] and found("pwd=letmein1 x") == ["letmein1"]
+    assert found("Bearer abcdefghijklmnop") == ["abcdefghijklmnop"] and found("the secret is AB12 CD34 EF56 thanks") == ["AB12 CD34 EF56"]
+    assert secrets._redacted("my pwd: hunter2.", secrets.all_spans("my pwd: hunter2.", model)[1], "#").startswith("my pwd: #")
+    for prose in ("the password must be reset by the user, each token is valid for a day", "the tokens were split by the tokenizer into words", "bearer of bad news", "Enter your password here and click on the button"):
+        assert found(prose) == []
+    hit = wrong = missed = 0
+    for text, spans in secrets.training_lines(300, 978, 1.0):
+        want = {(s, e) for s, e in spans if text[s - 1 : s] != " " or (s - 1) not in {x for _, x in spans}}
+        starts, got = {s for s, _ in want}, {s for s, _ in secrets.crf_spans(text, model)}
+        hit, wrong, missed = hit + len(got & starts), wrong + len(got - starts), missed + len(starts - got)
+    assert hit / (hit + wrong) > 0.85 and hit / (hit + missed) > 0.85
+
+
+def test_secret_tokens():
+    """Cut behind = after a cue word, whole elsewhere; in order, without overlaps, in linear time."""
+    words_at = lambda t: [t[a:b] for a, b in secrets.tokens_of(t)]
+    assert words_at("db_password=ab x=y1234567") == ["db_password=", "ab", "x=y1234567"] and words_at("no cue in x1 here") == []
+    for text in ("pwd1" * 50_000, ("x" * 200 + "pwd") * 1_000, "pwd=" * 20_000, "token " * 20_000):
+        spans = secrets.tokens_of(text)
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])) and all(a < b for a, b in spans)
+
+
 def test_secret_rows(spark):
     long = "word " * 50_000 + "password=hunter22x"
     df = spark.createDataFrame([(1, None), (2, ""), (3, "token = 'abcdef1'"), (3, "token = 'abcdef1'"), (4, long), (None, "a" * 200_000)], "doc_id long, text string").withColumn("spans", F.lit("clash"))
