@@ -112,9 +112,17 @@ def context_features(text: str, start: int, end: int) -> list[str]:
 
 
 def file_features(text: str, n_tokens: int) -> list[str]:
-    """What kind of file the text is: the share of possible secrets, and of signs that code and settings have."""
-    head = text[:4096]
-    return [f"file:{min(6, int(math.log2(1 + n_tokens)))}", f"dense:{min(9, int(100 * n_tokens / (1 + len(text) / 6)))}", f"code:{sum(head.count(c) > 2 for c in '={};')}"]
+    """What kind of file the whole text is: the number and share of possible secrets."""
+    return [f"file:{min(6, int(math.log2(1 + n_tokens)))}", f"dense:{min(9, int(100 * n_tokens / (1 + len(text) / 6)))}"]
+
+
+_AROUND = 200
+
+
+def place_features(text: str, start: int, end: int) -> list[str]:
+    """Signs that code and settings have, in and around a run of tokens: a text may be prose in one part and settings in another."""
+    around = text[max(0, start - _AROUND) : end + _AROUND]
+    return [f"code:{sum(around.count(c) > 2 for c in '={};')}"]
 
 
 def near_cues(text: str) -> tuple[list[tuple[int, int]], set[int]]:
@@ -175,7 +183,8 @@ def runs_of(text: str) -> list[list[tuple[int, int]]]:
 
 
 def run_slots(text: str, run: list[tuple[int, int]], own_file: list[str]) -> list[np.ndarray]:
-    return [np.fromiter(map(_slot_of, [*token_features(text[a:b]), *context_features(text, a, b), *own_file, "bias"]), np.int64) for a, b in run]
+    own = [*own_file, *place_features(text, run[0][0], run[-1][1]), "bias"]
+    return [np.fromiter(map(_slot_of, [*token_features(text[a:b]), *context_features(text, a, b), *own]), np.int64) for a, b in run]
 
 
 # --- the model ------------------------------------------------------------------------------------------------------

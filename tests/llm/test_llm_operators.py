@@ -192,6 +192,21 @@ def test_secret_tokens():
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])) and all(a < b for a, b in spans)
 
 
+def test_secret_places_see_the_whole_text():
+    """Settings behind long prose are scored as the same settings at the front."""
+    prose, settings = "some words of prose. " * 300, "\n" + "x = {a};\n" * 30 + "port = 8080x4412\npassword = hunter2\n" + "y = {b};\n" * 30
+
+    def slots(text):
+        run = next(x for x in secrets.runs_of(text) if any(text[a:b] == "8080x4412" for a, b in x))
+        return [s.tolist() for s in secrets.run_slots(text, run, secrets.file_features(text, len(secrets.possible(text))))]
+
+    first, last, code = slots(settings + prose), slots(prose + settings), [secrets._slot(f"code:{k}") for k in range(5)]
+    assert first == last == slots(prose + settings + prose) and all(code[4] in s and code[0] not in s for s in last)
+    model = secrets.trained()
+    found = lambda t: [t[a:b] for a, b in secrets.crf_spans(t, model)]
+    assert found(settings + prose) == found(prose + settings) == ["hunter2"]
+
+
 def test_secret_rows(spark):
     long = "word " * 50_000 + "password=hunter22x"
     df = spark.createDataFrame([(1, None), (2, ""), (3, "token = 'abcdef1'"), (3, "token = 'abcdef1'"), (4, long), (None, "a" * 200_000)], "doc_id long, text string").withColumn("spans", F.lit("clash"))
