@@ -9,7 +9,7 @@ cut into fragments, ranges of that order.
    sets are in the same class or in adjacent ones; each class has its own number of fragments, and a set emits keys
    in its own class and, as a guest, in the next.
 2. Groups. A set that shares fewer keys with others than w + 1, less its empty fragments, has no link: it goes, and
-   the count is taken again. Sets left that share a key, or share one with a set that does, form a group. No pair is
+   the count is taken again. With more than w empty fragments it needs one shared key only. Sets left that share a key, or share one with a set that does, form a group. No pair is
    made for that: each key links its sets with the smallest of them.
 3. Overlaps. Groups are split into blocks of bounded size, and pairs of blocks are tasks. There the overlap of every
    two sets is counted fragment by fragment and summed up. What leaves a task is a spanning forest of its links, at
@@ -76,7 +76,7 @@ def fragment_keys(own: np.ndarray, c: Classes) -> list[tuple[int, np.ndarray, in
         if spare <= c.slack[k]:
             out.append((k, keys[~empty], c.slack[k] + 1 - spare))
         else:
-            out.append((k, keys, c.slack[k] + 1))
+            out.append((k, keys, 1))  # a partner may leave out up to slack empty keys
     return out
 
 

@@ -421,6 +421,30 @@ def test_jaccard_fragments():
             assert shared >= max(fx[top][1], fy[top][1])
 
 
+def test_jaccard_fragments_at_the_threshold():
+    """Small sets at exactly the threshold, where one has more empty fragments than the slack and the other fewer."""
+    r, c, mixed = np.random.default_rng(7), jaccard.classes(80, 100), 0
+    for _ in range(12_000):
+        n = 5 * int(r.integers(5, 25))
+        x = np.unique(hashing.mix(r.integers(0, 2**63, n).astype(np.uint64)))
+        y = np.sort(r.permutation(x)[: len(x) * 4 // 5])
+        if 5 * len(y) != 4 * len(x):
+            continue
+        top = max(c.of(len(x)), c.of(len(y)))
+        (kx, need_x), (ky, need_y) = ({k: (keys, need) for k, keys, need in jaccard.fragment_keys(s, c)}[top] for s in (x, y))
+        mixed += (len(kx) == c.parts[top]) != (len(ky) == c.parts[top])
+        assert len(np.intersect1d(kx, ky)) >= max(need_x, need_y)
+    assert mixed > 100
+    # 55 hashes in 13 of 15 fragments; one of 11 fragments each goes, and one of those fragments is empty then
+    parts, fill = c.parts[c.of(55)], [0, 0, 1] + [4] * 10 + [7, 7]
+    assert len(fill) == parts and sum(fill) == 55
+    x = np.array([((f * 2**32 // parts + 1000 + i) << 32) + 17 * i for f, m in enumerate(fill) for i in range(m)], np.uint64)
+    y = np.delete(x, [sum(fill[:f]) for f in range(2, 13)])
+    assert len(y) == 44 and len(np.intersect1d(x, y)) == 44
+    (kx, need_x), (ky, need_y) = ({k: (keys, need) for k, keys, need in jaccard.fragment_keys(s, c)}[c.of(55)] for s in (x, y))
+    assert len(np.intersect1d(kx, ky)) >= max(need_x, need_y)
+
+
 def test_overlaps_and_forest():
     r = np.random.default_rng(4)
     sets = [np.unique(hashing.mix(r.integers(0, 500, 80).astype(np.uint64))) for _ in range(20)]
