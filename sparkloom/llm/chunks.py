@@ -36,23 +36,31 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 def cuts(data: bytes, smallest: int = 8, mask_bits: int = 4, largest: int = 96) -> list[int]:
     """Ends of chunks. A cut needs mask_bits zero bits at the top of the hash and at least `smallest` bytes since the
-    last one; after `largest` bytes a chunk ends anyway. Characters are never cut in two."""
+    last one. Where none comes for `largest` bytes, the chunk ends behind the smallest hash of those bytes (of equals the
+    first), so that cuts follow the content there too, as in a word said over and over. Characters are never cut in two.
+    Works through long texts piece by piece, with the same cuts as at once."""
     out, last, size = [], 0, len(data)
+
+    def forced(until: int) -> None:
+        nonlocal last
+        while until - last > largest:
+            base = max(0, last - WINDOW)
+            h = gear(np.frombuffer(data, np.uint8, last + largest - base, base))
+            last = _character(data, last + smallest + int(h[last + smallest - 1 - base :].argmin()))
+            out.append(last)
+
     for start in range(0, size, _PIECE):
         base = max(0, start - WINDOW)
         a = np.frombuffer(data, np.uint8, min(size, start + _PIECE) - base, base)
         found = np.flatnonzero(gear(a)[start - base :] >> np.uint32(32 - mask_bits) == 0) + start + 1
         for end in found.tolist():
-            while end - last > largest:
-                last = _character(data, last + largest)
-                out.append(last)
+            if end - last > largest:
+                forced(end)
             if end - last >= smallest:
                 end = _character(data, end)
                 out.append(end)
                 last = end
-    while size - last > largest:
-        last = _character(data, last + largest)
-        out.append(last)
+    forced(size)
     if last < size:
         out.append(size)
     return out
@@ -64,62 +72,47 @@ def _character(data: bytes, end: int) -> int:
     return end
 
 
-def chunk_digests(data: bytes, ends: list[int]) -> np.ndarray:
-    """64 bits for each chunk: a keyed sum over its bytes, mixed with its length."""
-    if not ends:
-        return np.empty(0, np.int64)
-    e = np.array(ends)
-    s = np.concatenate(([0], e[:-1]))
-    lengths = e - s
-    place = np.arange(len(data)) - np.repeat(s, lengths)
-    a = np.frombuffer(data, np.uint8).astype(_U)
-    weighed = mix((a + _U(1)) + (place.astype(_U) << _U(9)))
-    return mix(np.add.reduceat(weighed, s) + lengths.astype(_U) * _U(0x9E3779B97F4A7C15)).view(np.int64)
+def chunk_digests(data: bytes, ends: list[int], columns: int = 2) -> np.ndarray:
+    """64 bits for each chunk and column, 128 in all: keyed sums over its bytes, mixed with its length."""
+    e = np.array(ends, np.int64)
+    s = np.concatenate(([0], e[:-1])) if len(e) else e
+    out = np.empty((len(e), columns), _U)
+    first = 0
+    while first < len(e):  # chunks of some MB at a time
+        last = max(first + 1, int(np.searchsorted(e, s[first] + 2 * _PIECE)))
+        base, lengths = int(s[first]), e[first:last] - s[first:last]
+        a = np.frombuffer(data, np.uint8, int(e[last - 1]) - base, base).astype(_U)
+        place = np.arange(len(a), dtype=_U) - np.repeat((s[first:last] - base).astype(_U), lengths)
+        said = (a + _U(1)) + (place << _U(9))
+        for column, key in enumerate((_U(0), _U(0xA5A5A5A5A5A5A5A5))[:columns]):
+            out[first:last, column] = mix(np.add.reduceat(mix(said ^ key), s[first:last] - base) + lengths.astype(_U) * _U(0x9E3779B97F4A7C15))
+        first = last
+    return out
 
 
-def _blocks(text: str | None):
-    """Bytes of a text, cut so that a task never works on much more than a few MB at once. Blocks end at a fixed number
-    of bytes: passages across such an end lose the chunk there, no more."""
+def units_of(text: str | None, chunks: int = 3, columns: int = 2, **limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest (two columns), start and end of each run of `chunks` neighbouring chunks; a text of fewer is one unit."""
     data = (text or "").encode()
-    start = 0
-    while start < len(data):
-        end = _character(data, min(len(data), start + 4 * _PIECE))
-        yield start, data[start:end]
-        start = end
-
-
-def chunks_of(text: str | None, **limits) -> tuple[list[int], np.ndarray]:
-    """Ends of all chunks of a text in bytes, and their digests."""
-    ends, digests = [], []
-    for start, data in _blocks(text):
-        own = cuts(data, **limits)
-        digests.append(chunk_digests(data, own))
-        ends += [start + e for e in own]
-    return ends, np.concatenate(digests) if digests else np.empty(0, np.int64)
-
-
-def units_of(text: str | None, chunks: int = 3, **limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, start and end of each run of `chunks` neighbouring chunks; a text of fewer chunks is one unit."""
-    ends, digests = chunks_of(text, **limits)
-    e = np.array(ends, np.int64)
+    ends = cuts(data, **limits)
+    x, e = chunk_digests(data, ends, columns), np.array(ends, np.int64)
     s = np.concatenate(([0], e[:-1])) if len(e) else e
     k = min(chunks, len(e))
     if not k:
-        return digests, s, e
-    n, x = len(e) - k + 1, digests.view(_U)
-    out = np.zeros(n, _U)
+        return np.empty((0, columns), np.int64), s, e
+    n = len(e) - k + 1
+    out = np.zeros((n, columns), _U)
     for i in range(k):
         out = mix(out * _U(0x9E3779B97F4A7C15) + x[i : i + n] + _U(i))
     return out.view(np.int64), s[:n], e[k - 1 :]
 
 
 def _digests(limits: dict):
-    """Rows (digest) of all units."""
+    """Rows (digest) of all units: 64 bits, which choose what is looked at again."""
 
     def run(batches):
         common.held("chunks")
         for batch in batches:
-            own = [units_of(t.as_py(), **limits)[0] for t in batch.column("_text")]
+            own = [units_of(t.as_py(), columns=1, **limits)[0][:, 0] for t in batch.column("_text")]
             whole = np.concatenate(own) if own else np.empty(0, np.int64)
             for i in range(0, len(whole), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(whole[i : i + 200_000])], names=["digest"])
@@ -128,25 +121,25 @@ def _digests(limits: dict):
 
 
 def _places(known: Bitmap, limits: dict):
-    """Rows (digest, id, key, at, end) of the units whose digest may be known."""
+    """Rows (digest, check, id, key, at, end) of the units whose digest may be known. check: the digest's other 64 bits."""
 
     def run(batches):
         common.held("chunks")
         for batch in batches:
-            columns: list[list] = [[] for _ in range(4)]
+            columns: list[list] = [[] for _ in range(5)]
             ids, missing = [], []
             for own_id, key, text in zip(batch.column("_id").to_pylist(), batch.column("_key").to_pylist(), batch.column("_text")):
                 digests, at, end = units_of(text.as_py(), **limits)
-                own = np.flatnonzero(known.has(digests))
-                for column, x in zip(columns, (digests[own], np.full(len(own), key, np.int64), at[own], end[own])):
+                own = np.flatnonzero(known.has(np.ascontiguousarray(digests[:, 0])))
+                for column, x in zip(columns, (digests[own, 0], digests[own, 1], np.full(len(own), key, np.int64), at[own], end[own])):
                     column.append(x)
                 ids.append(np.full(len(own), own_id or 0, np.int64))
                 missing.append(np.full(len(own), own_id is None))
-            digest, key, at, end = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
+            digest, check, key, at, end = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
             own_ids, none = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ids, missing))
             for i in range(0, len(digest), 100_000):
                 z = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[z]), pa.array(own_ids[z], mask=none[z].astype(bool)), pa.array(key[z]), pa.array(at[z]), pa.array(end[z])], names=["digest", "id", "key", "at", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[z]), pa.array(check[z]), pa.array(own_ids[z], mask=none[z].astype(bool)), pa.array(key[z]), pa.array(at[z]), pa.array(end[z])], names=["digest", "check", "id", "key", "at", "end"])
 
     return run
 
@@ -166,6 +159,9 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     place of the same one. repeats: stretches of at least min_bytes of which an earlier occurrence exists, by (id, key,
     place), null ids last; may be empty. key is xxhash64 of id and text: rows that repeat both are the same row.
 
+    Digests are 128-bit, so that chance makes no repeats at any size of corpus. Digests that very many texts hold are
+    broadcast with their first place, so that their places needn't meet in one task.
+
     Null, empty and short texts have no passages; an empty table gives none; other columns of docs aren't read. Ids
     must be whole numbers.
     """
@@ -174,12 +170,13 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     rows = keyed(docs, id_column, text_column)
     every = rows.select("_text").mapInArrow(_digests(limits), "digest long")
     shared = common.written(every.groupBy("digest").count().where("count > 1").select("digest"), "chunk-digests")
-    places = rows.mapInArrow(_places(Bitmap.of(shared, "digest", 25), limits), "digest long, id long, key long, at long, end long")
+    places = rows.mapInArrow(_places(Bitmap.of(shared, "digest", 25), limits), "digest long, check long, id long, key long, at long, end long")
     places = common.written(places, "chunk-places")
+    common.discard(shared)
     order = F.struct(F.col("id").isNull().alias("x"), F.col("id").alias("id"), "key", "at")
     # bitmaps let some digests pass that occur once; those have one place only
-    first = places.groupBy("digest").agg(F.min(order).alias("f"), F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("z")).where("a <> z").select("digest", F.col("f.key").alias("fk"), F.col("f.at").alias("fa"))
-    marked = places.join(first, "digest").select("id", "key", "at", "end", ((F.col("key") != F.col("fk")) | (F.col("at") != F.col("fa"))).alias("later")).distinct()
+    first = places.groupBy("digest", "check").agg(F.min(order).alias("f"), F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("z"), F.count("*").alias("_n")).where("a <> z").select("digest", "check", F.col("f.key").alias("fk"), F.col("f.at").alias("fa"), "_n")
+    marked = common.heavy_join(places, first, ["digest", "check"], "_n", places.count()).select("id", "key", "at", "end", ((F.col("key") != F.col("fk")) | (F.col("at") != F.col("fa"))).alias("later")).distinct()
     # grouped by text: a group holds no more than its text's own units
     spans = marked.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("u"), F.sort_array(F.collect_list(F.when(F.col("later"), F.struct("at", "end")))).alias("r"))
     long_enough = lambda x: F.filter(x, lambda p: p["end"] - p["start"] >= min_bytes)
@@ -192,18 +189,19 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = 90, **limits) -> DataFrame:
-    """The rows of docs, all columns, with the bytes of repeats cut out of the texts. Null texts stay null."""
+    """The rows of docs, all columns (of any name), with the bytes of repeats cut out of the texts. Null texts stay null,
+    rows that repeat id and text are cut alike, an empty table stays empty."""
     common.ship(docs.sparkSession)
-    names, key = docs.columns, F.xxhash64(id_column, text_column)
+    names, at = docs.columns, docs.columns.index(text_column)
     found = repeated_passages(docs, id_column, text_column, min_bytes, **limits).where(F.size("repeats") > 0).select(F.col("key").alias("_key"), F.col("repeats").alias("_cut"))
-    rows = docs.withColumn("_key", key).join(found, "_key", "left").select(*names, "_cut")
+    rows = docs.select(F.struct(*names).alias("_row"), F.xxhash64(id_column, text_column).alias("_key")).join(found, "_key", "left").select("_row", "_cut")
 
     def run(batches):
         common.held("chunks")
-        at = names.index(text_column)
         for batch in batches:
-            new = [t if t is None or not c else _cut(t, c) for t, c in zip(batch.column(at).to_pylist(), batch.column("_cut").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
+            own = batch.column("_row").flatten()
+            new = [t if t is None or not c else _cut(t, c) for t, c in zip(own[at].to_pylist(), batch.column("_cut").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else own[i] for i in range(len(names))], names=names)
 
     return rows.mapInArrow(run, docs.schema)
 

@@ -7,13 +7,14 @@ import ctypes
 import gc
 import math
 import os
+import re
 import tempfile
 import uuid
 import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 _ROOT = Path(__file__).resolve().parents[1]
@@ -56,9 +57,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder
+    of its own; on a cluster that would be another disk on every machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset and {master or 'this session'} isn't local: name a folder that all executors share")
         found = "file:/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -75,4 +80,31 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(1, math.ceil(rows / 1_000_000)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that written() made and that no DataFrame to come reads any more."""
+    for df in tables:
+        path = getattr(df, "written_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def heavy_join(left: DataFrame, right: DataFrame, on: str | list[str], weight: str, n_left: int, how: str = "inner", at_least: int = 100_000) -> DataFrame:
+    """left joined with right, which has one row a key, where some keys may hold a large part of left.
+
+    weight: right's count of left's rows with the key. At most 10,000 keys can have a ten-thousandth of the n_left rows
+    or more; those are broadcast, so left's rows stay where they are, and only the other keys are shuffled. left is read
+    twice then and should be a written table. weight is dropped.
+    """
+    bar = max(at_least, -(-n_left // 10_000))
+    hot = right.where(F.col(weight) >= bar)
+    if n_left < bar or hot.isEmpty():
+        return left.join(right.drop(weight), on, how)
+    hot, cold = F.broadcast(hot.drop(weight)), right.where(F.col(weight) < bar).drop(weight)
+    return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(cold, on, how))

@@ -20,8 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     while left:
         lowest = edges.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("to"))
         to_a, to_b = lowest.toDF("a", "_a"), lowest.toDF("b", "_b")
+        old_labels, old_edges = labels, edges
         labels = common.written(labels.join(lowest, labels["component"] == lowest["of"], "left").select("id", F.coalesce("to", "component").alias("component")), "cc-labels", vertices)
         moved = edges.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
         edges = common.written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges", left)
         left = edges.count()
+        common.discard(old_labels, old_edges)
     return labels

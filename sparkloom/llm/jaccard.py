@@ -9,11 +9,15 @@ cut into fragments, ranges of that order.
    sets are in the same class or in adjacent ones; each class has its own number of fragments, and a set emits keys
    in its own class and, as a guest, in the next.
 2. Groups. A set that shares fewer keys with others than w + 1, less its empty fragments, has no link: it goes, and
-   the count is taken again. With more than w empty fragments it needs one shared key only. Sets left that share a key, or share one with a set that does, form a group. No pair is
-   made for that: each key links its sets with the smallest of them.
+   the count is taken again. With more than w empty fragments it needs one shared key only. Sets left that share a key,
+   or share one with a set that does, form a group. No pair is made for that: each key links its sets with the smallest
+   of them.
 3. Overlaps. Groups are split into blocks of bounded size, and pairs of blocks are tasks. There the overlap of every
    two sets is counted fragment by fragment and summed up. What leaves a task is a spanning forest of its links, at
    most one row a set: enough for components, and linear however many copies there are.
+4. Large groups. First each block meets the group's first block only, which is linear in the group. Sets that are in
+   one component by then need not meet each other; those outside the group's largest component meet all others. So a
+   family of near copies costs a pass over its sets, and only texts that are similar without a link cost pairs of blocks.
 
 The slack w has a second use: fragments that happen to be empty need not be keys, as a set with at most w empty ones
 has an equal one that isn't empty.
@@ -121,14 +125,14 @@ def _heads(width: int, num: int, den: int):
                 a, b = digest(own) if len(own) else (None, None)
                 d1.append(a if a is None else _long(a)), d2.append(b if b is None else _long(b)), home.append(c.of(len(own)) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(_signed(row_key(batch.column("_id")))), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(home, pa.int32())],
-                names=["_id", "rk", "n", "d1", "d2", "home"],
+                [batch.column("_id"), batch.column("th"), pa.array(_signed(row_key(batch.column("_id")))), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(home, pa.int32())],
+                names=["_id", "th", "rk", "n", "d1", "d2", "home"],
             )
 
     return run
 
 
-_HEADS = "_id long, rk long, n long, d1 long, d2 long, home int"
+_HEADS = "_id long, th string, rk long, n long, d1 long, d2 long, home int"
 
 
 def _units(width: int, num: int, den: int, known: Bitmap | None):
@@ -263,69 +267,102 @@ def _links(num: int, den: int):
     return run
 
 
-def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = 256, block_bytes: int = 32 << 20, broadcast_rows: int = 400_000, rounds: int = 2) -> DataFrame:
-    """(id, n_shingles long, component_id) for each row of docs.
-
-    Words are runs of non-space characters with A-Z lower-cased; a document's set holds its distinct windows of `width`
-    words, or, with fewer words, all of them as one window. Two documents link if den * intersection >= num * union;
-    component_id is the smallest id reachable by links, the document's own included.
+def _node(d1: str = "d1", d2: str = "d2"):
+    return F.concat(F.lower(F.lpad(F.hex(d1), 16, "0")), F.lower(F.lpad(F.hex(d2), 16, "0")))
 
-    Which groups sets are in is broadcast up to broadcast_rows rows of 20 bytes, and joined by a shuffle beyond that.
 
-    Null and empty texts have no windows and link with nothing: component_id is their id. Null ids stay in their
-    rows and are never a component's id, unless it has no other. Rows that repeat an id and text are each answered;
-    other columns aren't read. Ids must be whole numbers. N-grams are compared by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    common.ship(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text_column).alias("_text"))
+def _linked(rows: DataFrame, width: int, num: int, den: int, block_sets: int, block_bytes: int, broadcast_rows: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """From rows (_id, th, _text): heads, one row a row (_id, th, n, node; node is null for sets without n-grams), and
+    nodes, one row a set (node, first: the smallest _id, component: a name of its component)."""
     heads = common.written(rows.mapInArrow(_heads(width, num, den), _HEADS), "jaccard-heads")
     n_rows = heads.count()
     texts = rows.select("_text")
 
     # keys that two different sets share: minima and maxima are taken before the shuffle
-    several = lambda df: df.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("last")).where("hub <> last").select("key", "hub")
-    shared = common.written(several(texts.mapInArrow(_units(width, num, den, None), _UNITS)), "jaccard-keys")
-    again = texts.mapInArrow(_units(width, num, den, Bitmap.of(shared, "key")), _UNITS).join(shared.select("key"), "key").distinct()
-    n_again = None
+    several = lambda df: df.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("last"), F.count("*").alias("_n")).where("hub <> last").select("key", "hub", "_n")
+    shared = common.written(several(texts.mapInArrow(_units(width, num, den, None), _UNITS)).select("key"), "jaccard-keys")
+    again = texts.mapInArrow(_units(width, num, den, Bitmap.of(shared, "key")), _UNITS).join(shared, "key").distinct()
+    n_again, before = None, shared
     for _ in range(rounds):
         again = common.written(again, "jaccard-again", n_again)
-        n_again = again.count()
+        common.discard(before)
+        before, n_again = again, again.count()
         enough = again.groupBy("unit").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("unit")
         again = again.join(enough, "unit")
         again = again.join(several(again).select("key"), "key").select("key", "unit", "need")
     again = common.written(again, "jaccard-again", n_again)
-    star = again.join(several(again), "key").where("unit <> hub").select(F.col("unit").alias("a"), F.col("hub").alias("b")).distinct()
+    common.discard(before)
+    star = common.heavy_join(again, several(again), "key", "_n", again.count()).where("unit <> hub").select(F.col("unit").alias("a"), F.col("hub").alias("b")).distinct()
     groups = common.written(components(star).toDF("unit", "cluster"), "jaccard-groups", 2 * n_rows)
 
     # one row of each set stands for it
-    name = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0")))
-    small = heads.where("d1 IS NOT NULL").select("_id", "rk", "n", name.alias("node"), "d1", "home")
+    small = heads.where("d1 IS NOT NULL").select("_id", "rk", "n", _node().alias("node"), "d1", "home")
     nodes = small.groupBy("node").agg(F.min("_id").alias("first"), F.min("rk").alias("rk"), F.first("d1").alias("d1"), F.first("home").alias("home"), F.first("n").alias("n"))
     nodes = common.written(nodes, "jaccard-nodes", n_rows)
-    # groups whose sets differ and are few enough for a block are a task each; larger ones are pairs of blocks
-    units = nodes.select("rk", "n", F.col("d1"), F.col("home")).mapInArrow(_unit_rows, "rk long, n long, unit long").join(groups, "unit")
+    units = nodes.select("node", "rk", "n", F.col("d1"), F.col("home")).mapInArrow(_unit_rows, "node string, rk long, n long, unit long").join(groups, "unit")
     units = common.written(units, "jaccard-units", 2 * n_rows)
-    count = units.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
+    n_blocks = F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int")
+
+    def met(units: DataFrame, plan: DataFrame, block, others) -> DataFrame:
+        """The links found where the sets of units meet: block is a set's own place in its cluster, others those it meets."""
+        if plan.count() <= broadcast_rows:  # else the sets are shuffled once more, to meet their plan
+            plan = F.broadcast(plan)
+        sets = rows.mapInArrow(_sets(width, num, den, Bitmap.of(units, "rk")), "unit long, d1 long, d2 long, n long, own binary").join(plan, "unit")
+        dealt = sets.withColumn("block", block).withColumn("other", F.explode(others)).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "d1", "d2", "n", "own")
+        links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_links(num, den), "a string, b string")
+        return common.written(links, "jaccard-links")
+
+    upto = lambda end: F.sequence(F.lit(0), end)
+    count = units.groupBy("cluster").agg(n_blocks.alias("blocks"))
     plan = common.written(units.select("unit", "cluster").distinct().join(count, "cluster"), "jaccard-plan", 2 * n_rows)
-    if plan.count() <= broadcast_rows:  # else the sets are shuffled once more, to meet their plan
-        plan = F.broadcast(plan)
-    sets = rows.mapInArrow(_sets(width, num, den, Bitmap.of(units, "rk")), "unit long, d1 long, d2 long, n long, own binary").join(plan, "unit")
-    block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))))
-    dealt = sets.withColumn("block", block).withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "d1", "d2", "n", "own")
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_links(num, den), "a string, b string")
-
+    own = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
+    links = met(units, plan, own, F.when((F.col("blocks") == 1) | (own > 0), F.array(F.lit(0))).otherwise(F.filter(upto(F.col("blocks") - 1), lambda x: x > 0)))
     found = components(links).toDF("node", "component")
-    of_node = nodes.select("node", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    answer = of_node.join(least, "component").select("node", "component_id")
-    out = heads.select("_id", "n", F.when(F.col("d1").isNotNull(), name).alias("node")).join(answer, "node", "left")
+
+    # groups of several blocks of which not all sets are linked by now: those outside the largest component meet the rest
+    large = units.join(plan.where("blocks > 1").select("unit", "cluster"), ["unit", "cluster"]).join(found, "node", "left").select("unit", "cluster", "rk", "n", F.coalesce("component", "node").alias("component"))
+    sizes = large.groupBy("cluster", "component").agg(F.count("*").alias("c"), F.sum("n").alias("bytes"))
+    top = sizes.groupBy("cluster").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("cluster", F.col("top.component").alias("top"))
+    open_units = common.written(large.join(top, "cluster").select("unit", "cluster", "rk", "n", (F.col("component") == F.col("top")).alias("inside")), "jaccard-open", 2 * n_rows)
+    if not open_units.isEmpty():
+        halves = open_units.groupBy("cluster", "inside").agg(n_blocks.alias("b")).groupBy("cluster").agg(F.max(F.when(~F.col("inside"), F.col("b"))).alias("outer"), F.max(F.when(F.col("inside"), F.col("b"))).alias("inner"))
+        second = common.written(open_units.select("unit", "cluster", "inside").distinct().join(halves, "cluster"), "jaccard-second", 2 * n_rows)
+        place = F.when(F.col("inside"), F.col("outer") + F.pmod(F.xxhash64("unit"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("unit"), F.col("outer"))).cast("int")
+        others = F.when(F.col("inside"), upto(F.col("outer") - 1)).otherwise(F.filter(upto(F.col("outer") + F.col("inner") - 1), lambda x: x != F.col("block")))
+        more = met(open_units, second, place, others)
+        found = components(links.unionByName(more)).toDF("node", "component")
+        common.discard(second, more)
+    named = nodes.select("node", "first").join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    named = common.written(named, "jaccard-named", n_rows)
+    common.discard(again, groups, units, plan, links, open_units, nodes)
+    return heads.select("_id", "th", "n", F.when(F.col("d1").isNotNull(), _node()).alias("node")), named
+
+
+def similarity_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = 256, block_bytes: int = 32 << 20, broadcast_rows: int = 400_000, rounds: int = 2) -> DataFrame:
+    """(id, n_shingles long, component_id) for each row of docs.
+
+    Words are runs of non-space characters with A-Z lower-cased; a document's set holds its distinct windows of `width`
+    words, or, with fewer words, all of them as one window. Two documents link if den * intersection >= num * union;
+    component_id is the smallest id reachable by links, the document's own included.
+
+    Which groups sets are in is broadcast up to broadcast_rows rows of 20 bytes, and joined by a shuffle beyond that.
+
+    Null and empty texts have no windows and link with nothing: component_id is their id. Null ids stay in their
+    rows and are never a component's id, unless it has no other. Rows that repeat an id and text are each answered;
+    other columns aren't read. Ids must be whole numbers. N-grams are compared by 64-bit hashes.
+    """
+    common.ship(docs.sparkSession)
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.lit(None).cast("string").alias("th"), F.col(text_column).alias("_text"))
+    heads, nodes = _linked(rows, width, num, den, block_sets, block_bytes, broadcast_rows, rounds)
+    least = nodes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_n"))
+    answer = common.heavy_join(nodes.select("node", "component"), least, "component", "_n", nodes.count()).select("node", "component_id")
+    out = heads.join(answer, "node", "left")
     return out.select(F.col("_id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
 def _unit_rows(batches):
     for batch in batches:
+        node = batch.column("node")
         rk, n, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rk", "n", "home"))
         d1 = batch.column("d1").to_numpy(zero_copy_only=False).view(_U)
         for step in (0, 1):
@@ -333,16 +370,42 @@ def _unit_rows(batches):
             for k in np.unique(home):
                 own = home == k
                 u[own] = _signed(unit_id(d1[own], int(k) + step))
-            yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(n), pa.array(u)], names=["rk", "n", "unit"])
+            yield pa.RecordBatch.from_arrays([node, pa.array(rk), pa.array(n), pa.array(u)], names=["node", "rk", "n", "unit"])
 
 
-def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
-    """The rows of docs, all columns, less those whose component has a smaller id. Rows without id or words stay."""
-    found = similarity_components(docs, width, num, den, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = 256, block_bytes: int = 32 << 20, broadcast_rows: int = 400_000, rounds: int = 2) -> DataFrame:
+    """The rows of docs, all columns, one of each component of similarity_components.
+
+    The row with the smallest id stays, null ids come last; of several texts with that id the one with the smallest MD5.
+    Rows that repeat its id and text go too: of those the one with the smallest hash of all columns stays. Rows are told
+    apart by id and text, so another text with the id of a row that goes is judged on its own. Rows without words are
+    linked with nothing and all stay, repeated ones too. An empty table stays empty. Ids must be whole numbers; other
+    columns may have any name, but types that JSON can say.
+    """
+    common.ship(docs.sparkSession)
+    names, th = docs.columns, F.md5(F.col(text_column).cast("binary"))
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), th.alias("th"), F.col(text_column).alias("_text"))
+    heads, nodes = _linked(rows, width, num, den, block_sets, block_bytes, broadcast_rows, rounds)
+    # (id, text) with its rows counted, and its component
+    told = heads.where(F.col("node").isNotNull()).groupBy("_id", "th", "node").agg(F.count("*").alias("rows"))
+    told = common.written(told.join(nodes.select("node", "component"), "node").select("_id", "th", "rows", "component"), "jaccard-told")
+    best = told.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("i"), F.col("th").alias("t"))).alias("best"), F.count("*").alias("_n"), F.sum("rows").alias("all")).where("all > 1").drop("all")
+    stays = F.col("_id").eqNullSafe(F.col("best.i")) & (F.col("th") == F.col("best.t"))
+    judged = common.heavy_join(told, best, "component", "_n", told.count()).select(F.col("_id").alias("_i"), F.col("th").alias("_t"), stays.alias("_stays"), "rows")
+    judged = common.written(judged.where("NOT _stays OR rows > 1").select("_i", "_t", "_stays"), "jaccard-judged")
+    common.discard(told)
+    whole = docs.select(F.struct(*names).alias("_row"), F.col(id_column).cast("long").alias("_id"), th.alias("_th"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t"))
+    out = whole.join(judged, same, "left_anti").select("_row.*")
+    repeated = judged.where("_stays")
+    if not repeated.isEmpty():
+        one = whole.join(repeated, same).groupBy("_id", "_th").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        out = out.unionByName(one.select("_row.*"))
+    return out
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
+    """similarity_components of all documents on three-word shingles at 90 of 100; rows as there."""
     return similarity_components(common.table(spark, sf_dir, "documents"), 3, 90, 100)
 
 

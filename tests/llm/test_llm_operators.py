@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import textwrap
 
@@ -397,9 +398,58 @@ def test_jaccard(spark, width, num, block_sets, broadcast_rows):
 
 def test_jaccard_keeps_one(spark):
     a, b = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
-    df = spark.createDataFrame([(4, a), (2, a), (9, a + " x"), (7, b), (None, ""), (8, None)], "doc_id long, text string")
-    assert sorted((r.doc_id for r in jaccard.keep_one(df).collect()), key=str) == [2, 7, 8, None]
-    assert jaccard.similarity_components(df.limit(0)).isEmpty()
+    # repeated ids and rows, nulls, another name for the id, other columns with names of the operator's own
+    rows = [(30, None, 1), (4, a + " x", 1), (3, a, 1), (5, a, 1), (5, a, 1), (7, a, 1), (7, b, 1), (None, a, 1), (11, b + " y", 1), (20, "", 2), (20, "", 2), (2, "z", 3), (2, "z", 4), (2, "z", 4)]
+    odd = spark.createDataFrame(rows, "key long, text string, th int").withColumnRenamed("th", "node")
+    kept = jaccard.keep_one(odd, id_column="key").collect()
+    assert sorted((r.key, r.text) for r in kept if r.text is not None) == [(2, "z"), (3, a), (7, b), (20, ""), (20, "")] and len(kept) == 6
+    assert jaccard.similarity_components(odd.limit(0), id_column="key").isEmpty()
+
+
+def test_jaccard_large_families(spark):
+    """Families of many blocks: near copies in chains, and texts that are alike without a link."""
+    r = random.Random(21)
+    base = words(r, 60, 10**6)
+    rows = []
+    for i in range(60):  # each links with its neighbours, few with the first
+        rows.append((i, " ".join(base[i // 4 : 40 + i // 4])))
+    for i in range(60, 90):  # half of the words are shared by all
+        rows.append((i, " ".join(base[:24] + words(r, 16, 10**6))))
+    rows += [(90, rows[0][1]), (91, rows[59][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.similarity_components(df, 2, 80, 100, block_sets=4).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, 2, 80, 100)
+
+
+def test_jaccard_lost_link(spark):
+    """Two documents at the threshold exactly: 45 of 50 words."""
+    rows = []
+    for k in range(40):
+        x = [f"{k}-u{i}" for i in range(50)]
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, " ".join(x[5:]))]
+    got = jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(80)}
+
+
+def test_jaccard_uneven_sets():
+    """Sets whose hashes crowd in few fragments, small ones by all ways to drop a hash, sets of adjacent classes."""
+    r, pairs = np.random.default_rng(17), 0
+    for num in (50, 80, 90):
+        c = jaccard.classes(num, 100)
+        for _ in range(7000):
+            n = int(r.integers(1, 200))
+            crowd = np.sort(r.integers(0, 2**32, int(r.integers(1, 12))))
+            x = np.unique((crowd[r.integers(0, len(crowd), n)].astype(np.uint64) << np.uint64(32)) + (r.integers(0, 2**34, n)).astype(np.uint64))
+            most = int(len(x) * (100 - num) / 100)
+            start = int(r.integers(0, len(x) - most + 1))
+            y = np.delete(x, np.s_[start : start + most]) if r.random() < 0.5 else np.sort(r.permutation(x)[: len(x) - most])
+            if not len(y) or 100 * len(y) < num * len(x):
+                continue
+            top = max(c.of(len(x)), c.of(len(y)))
+            (kx, nx), (ky, ny) = ({k: (keys, need) for k, keys, need in jaccard.fragment_keys(z, c)}[top] for z in (x, y))
+            assert len(np.intersect1d(kx, ky)) >= max(nx, ny)
+            pairs += 1
+    assert pairs > 15_000
 
 
 def test_jaccard_fragments():
@@ -489,7 +539,7 @@ def test_gear():
 def test_cuts_resist_shifts():
     r = random.Random(10)
     text = " ".join(words(r, 4000, 5000)).encode()
-    a, b = (set(np.array(chunks.chunk_digests(t, chunks.cuts(t))).tolist()) for t in (text, text[:9000] + b"inserted words " + text[9000:]))
+    a, b = (set(chunks.chunk_digests(t, chunks.cuts(t))[:, 0].tolist()) for t in (text, text[:9000] + b"inserted words " + text[9000:]))
     assert len(a - b) <= 6
     ends = chunks.cuts(text)
     sizes = np.diff([0, *ends])
@@ -504,6 +554,109 @@ def test_cuts_resist_shifts():
         chunks._PIECE = old
 
 
+def test_cuts_of_periodic_and_long_texts():
+    """Forced cuts follow the content, and pieces of a long text are worked on as one."""
+    r = random.Random(8)
+    said = "conosciende " * 40
+    a, b = (set(map(tuple, chunks.units_of(" ".join(words(r, n, 10**5)) + " " + said + " ".join(words(r, 30, 10**5)))[0].tolist())) for n in (37, 64))
+    assert a & b
+    long = " ".join(words(r, 1_700_000, 10**5)).encode()
+    assert len(long) > 9 << 20
+    ends = chunks.cuts(long)
+    assert max(np.diff([0, *ends])) <= 100 and ends[-1] == len(long)
+    # a passage across any place of a long text has the chunks that it has by itself
+    every = {tuple(x) for x in chunks.chunk_digests(long, ends).tolist()}
+    for at in (4 << 20, 8 << 20):
+        k = int(np.searchsorted(ends, at))
+        part = long[ends[k - 20] : ends[k + 20]]
+        own = {tuple(x) for x in chunks.chunk_digests(part, chunks.cuts(part)).tolist()}
+        assert len(own & every) > 30
+    digests = chunks.units_of(long.decode())[0]
+    old, chunks._PIECE = chunks._PIECE, 5000
+    try:
+        assert chunks.cuts(long) == ends and (chunks.units_of(long.decode())[0] == digests).all()
+    finally:
+        chunks._PIECE = old
+
+
+def plain_units(text):
+    """Cuts and units by the definition, byte by byte."""
+    data, last, out, h = text.encode(), 0, [], []
+    x = 0
+    for c in data:
+        x = ((x << 1) + int(chunks._GEAR[c])) & 0xFFFFFFFF
+        h.append(x)
+
+    def whole(end):
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
+        return end
+
+    end = 0
+    while last < len(data):
+        end = next((e for e in range(last + 1, min(len(data), last + 96) + 1) if h[e - 1] >> 28 == 0 and e - last >= 8), None)
+        if end is None:
+            if len(data) - last <= 96:
+                end = len(data)
+            else:
+                best = min(range(last + 8, last + 97), key=lambda e: h[e - 1])
+                end = best
+        last = whole(end)
+        out.append(last)
+    starts = [0, *out[:-1]]
+    k = min(3, len(out))
+    return [(data[starts[i] : out[i + k - 1]], tuple(out[i : i + k]), starts[i], out[i + k - 1]) for i in range(len(out) - k + 1)] if out else []
+
+
+def test_repeated_passages_by_brute_force(spark):
+    """Every span, shared and repeated, against units that are compared as bytes."""
+    r = random.Random(12)
+    passages = [" ".join(words(r, n, 10**4)) for n in (20, 40, 90)] + ["höre " * 60]
+    rows = []
+    for i in range(40):
+        text = " ".join(words(r, r.randrange(5, 60), 10**5))
+        for _ in range(r.randrange(3)):
+            text += " " + r.choice(passages) + " " + " ".join(words(r, r.randrange(0, 40), 10**5))
+        rows.append((i, text))
+    rows += [(40, rows[3][1]), (40, rows[3][1]), (None, rows[5][1]), (41, None), (42, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted({(i is None, i or 0, t) for i, t in rows if t}, key=lambda x: x)
+    units = {d: plain_units(d[2]) for d in order}
+    sizes = lambda u: (u[0], tuple(b - u[2] for b in u[1]))
+    places = {}
+    for d in order:
+        for u in units[d]:
+            places.setdefault(sizes(u), []).append((d, u[2]))
+
+    def joined(spans):
+        out = []
+        for a, z in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], z)
+            else:
+                out.append([a, z])
+        return [(a, z) for a, z in out if z - a >= 90]
+
+    # ties between documents of one id are decided by a hash: none here but whole rows
+    want = {}
+    for d in order:
+        shared = joined([(u[2], u[3]) for u in units[d] if len(places[sizes(u)]) > 1])
+        later = joined([(u[2], u[3]) for u in units[d] if len(places[sizes(u)]) > 1 and places[sizes(u)][0] != (d, u[2])])
+        if shared:
+            want[None if d[0] else d[1]] = (shared, later)
+    got = {x.id: ([(p.start, p.end) for p in x.shared], [(p.start, p.end) for p in x.repeats]) for x in chunks.repeated_passages(df).collect()}
+    assert got == want and len(want) > 10
+    odd = df.select("doc_id", "text", F.lit(1).alias("_key"), F.lit(2).alias("_cut"))
+    texts = dict(rows)
+    for x in chunks.without_repeats(odd).collect():
+        assert (x._key, x._cut) == (1, 2)
+        if x.text is not None:
+            data = texts[x.doc_id].encode()
+            for a, z in reversed(want.get(x.doc_id, ((), ()))[1]):
+                data = data[:a] + data[z:]
+            assert x.text == data.decode()
+
+
 def test_repeated_passages(spark):
     r = random.Random(11)
     passage = " ".join(words(r, 60, 10**5))
@@ -529,19 +682,42 @@ def test_warc(spark, tmp_path):
     big, other = "é\r\n\r\nWARC/1.1 " * 120, "y" * 1000
     rows = [(1, "http://a\r\n/x", big), (5, "http://b/", big), (5, "http://b/", big), (3, None, big), (None, "http://n/", big), (7, "u", None), (8, "u", ""), (9, "u", "short"), (10, "u", "short"), (11, "u", other), (12, "u", other)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit("clash"))
-    for compression in ("none", "gzip"):
-        path = f"file:{tmp_path}/{compression}"
-        warc.write_archives(df, path, compression=compression, records_per_file=3)
+    for gzip, broadcast_rows in ((False, 0), (True, 10**6)):
+        path = f"file:{tmp_path}/{gzip}"
+        warc.write_archives(df.repartition(1), path, gzip=gzip, archive_bytes=1, broadcast_rows=broadcast_rows)
         records = warc.read_archives(spark, path)
-        assert records.count() == len(rows)
+        assert records.count() == len(rows) == records.select("record_id").distinct().count()
         got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.resolve(records).collect())
         n = len(big.encode())
         assert got == [(0, n, "response", None), (1, n, "revisit", 5), (3, n, "revisit", 5), (5, n, "response", None), (5, n, "response", None), (7, 0, "response", None), (8, 0, "response", None), (9, 5, "response", None), (10, 5, "response", None), (11, 1000, "revisit", 12), (12, 1000, "response", None)]
-        payloads = {r.page_id: r.payload for r in records.collect()}
-        assert bytes(payloads[5]) == big.encode() and payloads[1] is None and bytes(payloads[7]) == b""
-    assert warc.to_records(df.limit(0)).isEmpty()
+        payloads = {r.page_id: r for r in records.collect()}
+        assert bytes(payloads[5].payload) == big.encode() and payloads[1].payload is None and bytes(payloads[7].payload) == b""
+        assert payloads[11].refers_to_id == payloads[12].record_id and payloads[1].refers_to_id is None
+    assert warc.to_parts(df.limit(0)).isEmpty()
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
+    with pytest.raises(ValueError):
+        list(warc.members(warc._member(b"cut")[:-3]))
+
+
+def test_warc_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """Parts end by bytes, begin with a warcinfo record, and hold a gzip member for each record; one page may be larger."""
+    r = random.Random(4)
+    rows = [(i, None, "".join(r.choices("abcdefghijklmnop", k=400_000))) for i in range(24)] + [(99, None, "".join(r.choices("qrstuvwxyz0123456789", k=9 << 20)))]
+    path = f"{tmp_path}/a"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), f"file:{path}", archive_bytes=4 << 20)
+    files = [open(f"{path}/{f}", "rb").read() for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) > 1 and sorted(map(len, files))[-2] < 6 << 20
+    kinds = []
+    for data in files:
+        own = [[f["warc-type"] for f, _ in warc.parse(m)] for m in warc.members(data)]
+        assert own[0] == ["warcinfo"] and max(map(len, own)) == 1
+        kinds += sum(own, [])
+    assert kinds.count("response") == 25
+    # by another reader: the whole file is one stream of gzip members
+    import gzip
+
+    assert sum(gzip.decompress(d).count(b"WARC-Type: response") for d in files) == 25
 
 
 def test_bradley_terry():
