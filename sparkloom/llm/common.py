@@ -14,7 +14,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 _ROOT = Path(__file__).resolve().parents[1]
@@ -108,3 +108,20 @@ def heavy_join(left: DataFrame, right: DataFrame, on: str | list[str], weight: s
         return left.join(right.drop(weight), on, how)
     hot, cold = F.broadcast(hot.drop(weight)), right.where(F.col(weight) < bar).drop(weight)
     return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(cold, on, how))
+
+
+def numbered(df: DataFrame, group: str, order: list, name: str) -> DataFrame:
+    """df with column `name`: the place (long, from 0) of each row in its group, in the order given.
+
+    A group may be most of the table: rows are dealt by ranges of (group, order), each range counts its own, and what lies
+    before in other ranges is added. A null group is a group. Rows that are equal in order have any of their places.
+    """
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = written(df.repartitionByRange(ranges, F.col(group).asc_nulls_first(), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range", group).agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    before = before.select(F.col("_range").alias("_r"), F.col(group).alias("_g"), "_before")
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", group).orderBy(*order)))
+    met = own.join(before, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g")))
+    return met.select(*df.columns, (F.col("_before") + F.col("_own") - 1).alias(name))

@@ -23,6 +23,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
+#: Matchers that a worker holds, and bytes of text that it reads ahead to give each of many blocks at once.
+HELD_BLOCKS, AHEAD = 2, 48 << 20
+
+
 class WuManber:
     """Finds all occurrences of byte patterns. Patterns of similar length share a table, so that short ones do not
     shorten the skips of the long ones."""
@@ -98,11 +102,13 @@ def merged_runs(runs: list[int]) -> list[int]:
 
 
 def _matcher(key: str, block, width: int) -> Matcher:
-    """Kept by a worker from task to task, one at a time."""
+    """Kept by a worker from task to task: as many as a pass has blocks at once in memory."""
     kept = common.held("decontam")
     if key not in kept:
-        kept.clear()
+        while len(kept) >= HELD_BLOCKS:
+            del kept[next(iter(kept))]
         kept[key] = Matcher(block.value, width)
+        block.__dict__.pop("_value", None)  # the words themselves are not needed beside the tables
     return kept[key]
 
 
@@ -132,6 +138,7 @@ def find_windows(
     item_column: str = "item_id",
     keep: tuple[str, ...] = ("doc_id",),
     block_bytes: int = 2 << 20,
+    pass_blocks: int = 64,
 ) -> DataFrame:
     """For each row of docs: keep's columns, n_words long, runs array<int> and items array<string>.
 
@@ -139,45 +146,66 @@ def find_windows(
     ids, as strings and sorted as strings, of items of which a window occurs. A window is `width` consecutive words of
     an item; an item with fewer words, but not none, is one window.
 
-    The benchmark is sent to executors in blocks of at most block_bytes (one block for all usual benchmarks); each
-    further block is one more pass over the rows in the same task, without a shuffle.
+    The benchmark is sent to executors in blocks of at most block_bytes (one block for all usual benchmarks). A pass
+    over the rows, without a shuffle, takes pass_blocks of them at most, which bounds what is broadcast for it; its one
+    worker holds the tables of two, reads texts ahead, and builds the tables anew for each load where there are more. A
+    larger benchmark takes further passes in the same task.
 
     Null and empty texts have no words and no runs, null and empty items no windows. An item whose id is null marks
     words but is not listed. Repeated rows are each answered; repeated items count once. Either table may be empty.
-    Columns of docs other than keep and the text are not read, so clashing names do no harm.
+    Columns of keep that are called n_words, runs or items are left out; others than keep and the text are not read.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    out = docs.select(*keep, F.col(text_column).alias("_text"), F.lit(None).cast("array<int>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(*(c for c in keep if c not in ("n_words", "runs", "items")), F.col(text_column).alias("_text"), F.lit(None).cast("array<int>").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
     between, done = out.schema, out.drop("_text").withColumn("n_words", F.lit(0).cast("long")).schema
     blocks = item_blocks(benchmark, item_column, item_text_column, width, block_bytes)
     block = next(blocks)
     while block is not None:  # the last pass drops the texts: usually it is the only one, and a task needs one worker
-        following = next(blocks, None)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(block), uuid.uuid4().hex, width, following is None), between if following is not None else done)
-        block = following
+        sent = []
+        while block is not None and len(sent) < pass_blocks:
+            sent.append((uuid.uuid4().hex, spark.sparkContext.broadcast(block)))
+            block = next(blocks, None)
+        out = out.mapInArrow(_pass(sent, width, block is None), between if block is not None else done)
     return out
 
 
-def _pass(block, key: str, width: int, last: bool):
+def _loads(batches, most: int):
+    """Lists of batches whose texts have so many bytes, or one more batch."""
+    load, size = [], 0
+    for batch in batches:
+        load.append(batch)
+        size += batch.column("_text").nbytes
+        if size >= most:
+            yield load
+            load, size = [], 0
+    if load:
+        yield load
+
+
+def _pass(blocks: list, width: int, last: bool):
     def run(batches):
-        m = _matcher(key, block, width)
-        for batch in batches:
-            runs, items, n = batch.column("runs").to_pylist(), batch.column("items").to_pylist(), []
-            for i, text in enumerate(batch.column("_text")):
-                words = words_of(text.as_py())
-                n.append(len(words))
-                got, who = m.match(b" " + b" ".join(words) + b" ")
-                if got:
-                    runs[i] = merged_runs((runs[i] or []) + got)
-                    items[i] = sorted({*(items[i] or []), *(w for w in who if w is not None)})
-            if last:
-                runs, items = ([x or [] for x in c] for c in (runs, items))
-            batch = _replaced(batch, {"runs": pa.array(runs, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string()))})
-            if last:
-                names = [c for c in batch.schema.names if c != "_text"]
-                batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "n_words"])
-            yield batch
+        common.held("decontam")
+        for load in _loads(batches, AHEAD if len(blocks) > HELD_BLOCKS else 1):
+            texts = [[b" ".join(words_of(t.as_py())) for t in batch.column("_text")] for batch in load]
+            runs, items = ([x for batch in load for x in batch.column(c).to_pylist()] for c in ("runs", "items"))
+            for key, block in blocks:
+                m = _matcher(key, block, width)
+                for i, text in enumerate(t for own in texts for t in own):
+                    got, who = m.match(b" " + text + b" ")
+                    if got:
+                        runs[i] = merged_runs((runs[i] or []) + got)
+                        items[i] = sorted({*(items[i] or []), *(w for w in who if w is not None)})
+            at = 0
+            for batch, own in zip(load, texts):
+                r, k = ([x if x is not None or not last else [] for x in c[at : at + len(own)]] for c in (runs, items))
+                at += len(own)
+                batch = _replaced(batch, {"runs": pa.array(r, pa.list_(pa.int32())), "items": pa.array(k, pa.list_(pa.string()))})
+                if last:
+                    names = [c for c in batch.schema.names if c != "_text"]
+                    n = pa.array([t.count(b" ") + 1 if t else 0 for t in own], pa.int64())
+                    batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), n], names=[*names, "n_words"])
+                yield batch
 
     return run
 
@@ -193,13 +221,15 @@ def hit_words(runs) -> "F.Column":
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, **columns) -> DataFrame:
-    """The rows of docs, all columns, without those in which a window of the benchmark occurs. Null texts stay."""
+    """The rows of docs, all columns (of any name), without those in which a window of the benchmark occurs. Null and empty
+    texts stay, repeated rows are each judged; either table may be empty."""
     names = docs.columns
     found = find_windows(docs.select(F.struct(*names).alias("_row"), F.col(columns.get("text_column", "text")).alias("_own")), benchmark, width, "_own", keep=("_row",), **{k: v for k, v in columns.items() if k != "text_column"})
     return found.where(F.size("runs") == 0).select("_row.*")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
+    """find_windows of the whole benchmark in all documents; a row for each document, nulls as there."""
     found = find_windows(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     n_hit = hit_words(F.col("runs"))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -147,13 +147,17 @@ def phrase_places(words: Column) -> list[tuple[str, Column]]:
     return [(label, starts(phrase)) for label, phrase in PHRASES]
 
 
-def scan_licenses(docs: DataFrame, text_column: str = "text", templates=TEMPLATES, threshold: str = "0.8", keep: list[str] | None = None, wrapped: bool = False) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_column: str = "text", templates=TEMPLATES, threshold: str = "0.8", keep: list[str] | None = None, wrapped: bool = True, salts: int = 64) -> DataFrame:
     """The columns of docs (or those in keep) and license struct: n_words long, places array<long> (starts of phrases, sorted),
     base_labels and labels array<string> (sorted), score double (the largest containment, 0 where no template matches).
 
-    Blocks are lines; with wrapped, windows of words across line ends as well (matching_windows). Rows with equal text are answered alike; null and empty texts have no words, no labels and a
-    score of 0. An existing column called license is replaced. Word frequencies are counted over all rows first; the
-    only thing collected is a count for each word of the templates.
+    Blocks are lines; with wrapped, windows of words across line ends as well (matching_windows). Rows with equal text are
+    answered alike; null and empty texts have no words, no labels and a score of 0; an empty table gives none. An existing
+    column called license is replaced. Word frequencies are counted over all rows first; the only thing collected is a
+    count for each word of the templates.
+
+    Matches, one row a different text, meet their documents by the text's hashes. Copies of a text with a notice are dealt
+    to `salts` tasks, and documents without a prefix word, among them all empty ones, have no key that could meet.
     """
     spark, rows = docs.sparkSession, template_rows(templates)
     vocabulary = sorted({w for _, _, words in rows for w in words})
@@ -185,13 +189,20 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", templates=TEMPLATE
         # a window within a line has no more of a template than the line
         matches = matches.unionByName(matching_windows(near.where(F.contains("_t", F.lit("\n"))), index, rare, window_sizes(templates, threshold)))
     found = matches.groupBy("_h1", "_h2").agg(F.collect_set("label").alias("_labels"), F.max("containment").alias("_score"))
-    joined = own.join(found, ["_h1", "_h2"], "left")
+    told = F.xxhash64(F.lit(0), *(F.col("_row").getField(c) for c, kind in docs.dtypes if c in names and "map<" not in kind and "variant" not in kind))
+    salt = F.pmod(told, F.lit(salts)).cast("int")
+    # what has no rare word meets nothing: it is dealt by its own hash
+    apart = F.when(F.col("_base.near"), F.col("_h1")).otherwise(told)
+    own = own.select("_row", "_base", apart.alias("_h1"), F.when(F.col("_base.near"), F.col("_h2")).alias("_h2"), salt.alias("_salt"))
+    found = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = own.join(found, ["_h1", "_h2", "_salt"], "left")
     labels = F.array_sort(F.array_union("_base.base_labels", F.coalesce("_labels", F.array().cast("array<string>"))))
     return joined.select("_row.*", F.struct("_base.n_words", "_base.places", "_base.base_labels", labels.alias("labels"), F.coalesce("_score", F.lit(0.0)).alias("score")).alias("license"))
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
-    found = scan_licenses(common.table(spark, sf_dir, "documents"), keep=["doc_id"], wrapped=True)
+    """scan_licenses of all documents; a row for each, nulls as there."""
+    found = scan_licenses(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
     places = F.col("license.places")
     return found.select(
         "doc_id", "license.n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),

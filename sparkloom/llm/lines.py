@@ -13,10 +13,13 @@ _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _SYMBOLS = "#*$%&|<>"
 _MARKS = "#*$%&|<>!{}"
-#: Phrases of page furniture, matched in lower case.
+#: Phrases of page furniture in English, German, French and Spanish, matched in lower case.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "forgot your password", "log in to", "lorem ipsum",
     "powered by", "privacy policy", "read more", "share this", "sign in", "sign up", "skip to content", "subscribe to", "terms of service", "terms of use", "use cookies",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "jetzt anmelden", "nach oben", "newsletter abonnieren", "nutzungsbedingungen", "passwort vergessen", "zum inhalt springen",
+    "accepter les cookies", "aller au contenu", "cliquez ici", "haut de page", "lire la suite", "mentions légales", "mot de passe oublié", "politique de confidentialité", "se connecter", "tous droits réservés",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "iniciar sesión", "ir al contenido", "leer más", "política de privacidad", "suscríbete", "términos de uso", "todos los derechos reservados",
 )
 
 
@@ -121,6 +124,7 @@ def clean_lines(docs: DataFrame, text_column: str = "text", max_lost: float = 0.
 
 
 def op1_line_rules(spark, sf_dir: str) -> DataFrame:
+    """clean_lines of all documents; a row for each, nulls as there."""
     done = clean_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")))
 

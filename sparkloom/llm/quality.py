@@ -112,12 +112,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Bradley
     """Fit on at most max_labels labelled rows, those with the smallest hashes of doc_id; held-out rows never count.
 
     Labels that are null, or whose document is missing or null, are left out; a document with several labels counts
-    with the largest.
+    with the largest, a doc_id with several texts with the smallest of them. So what reaches the driver is bounded by
+    max_labels however often ids are repeated.
     """
     common.ship(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)  # so few rows that they may be broadcast
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("_text")).join(F.broadcast(known), "doc_id").select("_text", "_label")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("_text")).join(F.broadcast(known), "doc_id").groupBy("doc_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label")
     got = rows.mapInArrow(_feature_rows, f"_label {dict(labels.dtypes)['quality']}, x array<double>").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["_label"].to_numpy()))  # the same pairs whatever the order of arrival
@@ -125,20 +126,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Bradley
 
 
 def score(docs: DataFrame, model: BradleyTerry, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep's columns and score double for each row. Null texts are scored as empty ones."""
+    """keep's columns and score double for each row. Null texts are scored as empty ones, repeated rows each; an empty
+    table gives none. A column of keep called score is left out, other columns are not read."""
     common.ship(docs.sparkSession)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*(c for c in keep if c != "score"), F.col("text").alias("_text"))
     return rows.mapInArrow(partial(_score_rows, model=model), rows.drop("_text").withColumn("score", F.lit(0.0)).schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
+    """The rows of docs, all columns (of any name), whose score reaches the threshold; a score at it stays. Null texts are
+    judged as empty ones, repeated rows each; an empty table stays empty, and without labels all rows stay."""
     model = learn(docs, labels, **options)
     scored = score(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model, keep=("_row",))
     return scored.where(F.col("score") >= threshold).select("_row.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; a row for each, null and empty texts too."""
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

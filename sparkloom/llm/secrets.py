@@ -414,10 +414,26 @@ def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
 def all_spans(text: str, model: Crf) -> tuple[list, list]:
     """Base spans, and all spans: to them are added those of the model that touch none of them."""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in crf_spans(text, model) if not any(a < e and s < b for s, _, e in base)]
+    merged = joined_spans(base)
+    starts, more = [s for s, _ in merged], []
+    for a, b in crf_spans(text, model):
+        k = bisect.bisect_left(starts, b)  # the last stretch that begins before b, if any, is the one that may touch
+        if not k or merged[k - 1][1] <= a:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 
+def joined_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Stretches that spans, sorted by start, cover; apart from each other and in order."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _said(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -441,10 +457,11 @@ def scan(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ("d
     """keep's columns and spans array<struct<kind, start, end>> for each row, by start, then kind.
 
     Places are code points, end exclusive. Null and empty texts have no spans; repeated rows are each answered; an
-    empty table gives none. The model is fitted on training_lines() where none is given.
+    empty table gives none. A column of keep called spans is left out, other columns are not read. The model is fitted
+    on training_lines() where none is given.
     """
     common.ship(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_column).alias("_text"))
+    rows = docs.select(*(c for c in keep if c != "spans"), F.col(text_column).alias("_text"))
     schema = rows.drop("_text").withColumn("spans", F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>")).schema
     return rows.mapInArrow(_scan(model or trained()), schema)
 
@@ -452,7 +469,7 @@ def scan(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ("d
 def redact(docs: DataFrame, text_column: str = "text", mark: str = "[SECRET]", model: Crf | None = None) -> DataFrame:
     """The rows of docs, all columns, with each span's characters in the text replaced by mark, overlapping spans by one.
 
-    Null texts stay null.
+    Null texts stay null, repeated rows are each answered, an empty table stays empty.
     """
     common.ship(docs.sparkSession)
     model, at = model or trained(), docs.columns.index(text_column)
@@ -476,6 +493,7 @@ def _redacted(text: str, spans, mark: str) -> str:
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
+    """Spans of all documents, whole texts; a row for each document, null and empty texts without spans."""
     found = scan(common.table(spark, sf_dir, "documents"))
 
     def joined(spans):

@@ -138,6 +138,31 @@ def link_calls(calls: DataFrame, results: DataFrame, needs: DataFrame, schemas:
     return rows.select("_row.*", link.alias("link"))
 
 
+def in_order(linked: DataFrame, conversation: str) -> DataFrame:
+    """The columns of linked (from link_calls, without map columns) and position long: the place of each call, from 0, in a
+    topological order of its conversation.
+
+    Calls come by level, those on a cycle (no level) last; within a level by call_id, then message and arguments, nulls
+    first. A null conversation is one of its own. A conversation may be most of the table (common.numbered).
+    """
+    names = [c for c in linked.columns if c != "position"]
+    rows = linked.select(*names, F.col("link.level").alias("_level"), F.col("link.message").alias("_message"))
+    order = [F.col("_level").asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in ("call_id", "_message", "arguments"))]
+    return common.numbered(rows, conversation, order, "position").select(*names, "position")
+
+
+def conversations(linked: DataFrame, conversation: str, part_calls: int = 1000) -> DataFrame:
+    """(conversation, part, n_calls (long), messages string): each conversation as canonical JSON, an array of its messages
+    in the order of in_order, in parts of part_calls calls, so that no value grows with a conversation.
+
+    Calls without a message (their arguments aren't JSON) are null in the array. An empty table gives none.
+    """
+    rows = in_order(linked, conversation).select(F.col(conversation), F.floor(F.col("position") / part_calls).cast("long").alias("part"), F.struct("position", F.coalesce("link.message", F.lit("null")).alias("m")).alias("_m"))
+    told = rows.groupBy(conversation, "part").agg(F.sort_array(F.collect_list("_m")).alias("_all"))
+    messages = F.concat(F.lit("["), F.array_join(F.transform("_all", lambda x: x["m"]), ","), F.lit("]"))
+    return told.select(conversation, "part", F.size("_all").cast("long").alias("n_calls"), messages.alias("messages"))
+
+
 def op4_tool_calls(spark, sf_dir: str) -> DataFrame:
     """Turns of conversations as calls of one tool: what isn't the assistant's asks for a reply, the assistant's next turn
     is the result, and each call needs the one two turns before it."""
@@ -149,8 +174,8 @@ def op4_tool_calls(spark, sf_dir: str) -> DataFrame:
     calls = asks.select("conv_id", "turn", F.when(whole, key(F.col("turn"))).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text", "role")).alias("arguments"))
     results = turns.where("role = 'assistant'").select(F.when(whole, key(F.col("turn") - 1)).alias("call_id"), F.col("turn").alias("result_turn"), F.col("text").alias("content"))
     needs = asks.where(whole).select(key(F.col("turn")).alias("id"), key(F.col("turn") - 2).alias("needs"))
-    done = link_calls(calls, results, needs, REPLY_SCHEMA)
-    return done.select("conv_id", "turn", "link.result_turn", "link.n_results", F.col("link.level").cast("long").alias("level"), F.array_join("link.errors", ",").alias("errors"), F.sha2("link.message", 256).alias("message_sha256"))
+    done = in_order(link_calls(calls, results, needs, REPLY_SCHEMA), "conv_id")
+    return done.select("conv_id", "turn", "position", "link.result_turn", "link.n_results", F.col("link.level").cast("long").alias("level"), F.array_join("link.errors", ",").alias("errors"), F.sha2("link.message", 256).alias("message_sha256"))
 
 
 SQL = """
@@ -159,14 +184,17 @@ k AS (SELECT DISTINCT conv_id, turn FROM t WHERE role IS DISTINCT FROM 'assistan
 lv(conv_id, turn, level) AS (
   SELECT conv_id, turn, 0 FROM k WHERE NOT EXISTS (SELECT 1 FROM k p WHERE p.conv_id = k.conv_id AND p.turn = k.turn - 2)
   UNION ALL SELECT k.conv_id, k.turn, lv.level + 1 FROM lv JOIN k ON k.conv_id = lv.conv_id AND k.turn = lv.turn + 2),
-r AS (SELECT conv_id, turn - 1 AS turn, min(turn) AS result_turn, count(*) AS n, arg_min(text, (turn, text)) AS content FROM t WHERE role = 'assistant' GROUP BY ALL)
-SELECT t.conv_id, t.turn, r.result_turn, coalesce(r.n, 0) AS n_results, CAST(coalesce(lv.level, 0) AS BIGINT) AS level,
+r AS (SELECT conv_id, turn - 1 AS turn, min(turn) AS result_turn, count(*) AS n, arg_min(text, (turn, text)) AS content FROM t WHERE role = 'assistant' GROUP BY ALL),
+a AS (SELECT t.conv_id, t.turn, r.result_turn, coalesce(r.n, 0) AS n_results, CAST(coalesce(lv.level, 0) AS BIGINT) AS level,
        array_to_string(list_filter([
          CASE WHEN role IS NULL THEN 'missing:role' END, CASE WHEN text IS NULL THEN 'missing:text' END, CASE WHEN t.turn IS NULL THEN 'missing:turn' END,
          CASE WHEN role NOT IN ('system', 'user') THEN 'range:role' END, CASE WHEN length(text) NOT BETWEEN 1 AND 20000 THEN 'range:text' END, CASE WHEN t.turn < 0 THEN 'range:turn' END
        ], lambda x: x IS NOT NULL), ',') AS errors,
-       sha256('{"arguments":{' || array_to_string([x FOR x IN ['"role":' || to_json(role), '"text":' || to_json(text), '"turn":' || t.turn] IF x IS NOT NULL], ',')
-              || '},"id":' || to_json(id) || ',"name":"reply","result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}') AS message_sha256
+       '{"arguments":{' || array_to_string([x FOR x IN ['"role":' || to_json(role), '"text":' || to_json(text), '"turn":' || t.turn] IF x IS NOT NULL], ',')
+              || '},"id":' || to_json(id) || ',"name":"reply","result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}' AS message, id, text, role
 FROM t LEFT JOIN r USING (conv_id, turn) LEFT JOIN lv USING (conv_id, turn)
-WHERE role IS DISTINCT FROM 'assistant'
+WHERE role IS DISTINCT FROM 'assistant')
+SELECT conv_id, turn, result_turn, n_results, level, errors, sha256(message) AS message_sha256,
+       row_number() OVER (PARTITION BY conv_id ORDER BY level, id NULLS FIRST, message NULLS FIRST) - 1 AS position
+FROM a
 """

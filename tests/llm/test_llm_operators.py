@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import json
 import os
 import random
 import textwrap
@@ -101,14 +102,14 @@ def brute_hits(text, items, width):
     return len(own), len(hit), found
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "pass_blocks"), [(1 << 20, 64), (300, 64), (300, 2)])
+def test_decontamination(spark, block_bytes, pass_blocks):
     r = random.Random(4)
     items = [(i, " ".join(words(r, r.choice([0, 1, 2, 9, 10, 14, 40]), 8))) for i in range(25)] + [(7, "w1 w2"), (None, "w3 w4 w5 w6 w7"), (99, None)]
     docs = [(i, " ".join(words(r, r.randint(0, 120), 8)) + r.choice(["", "!", " " + items[r.randrange(20)][1].upper() + ".", "…"])) for i in range(60)] + [(None, None), (5, ""), (5, "")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("clash")).withColumn("runs", F.lit(1))
     b = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.find_windows(d.select("doc_id", "text"), b, 10, block_bytes=block_bytes, keep=("doc_id", "text")).collect()
+    found = decontam.find_windows(d.select("doc_id", "text"), b, 10, block_bytes=block_bytes, pass_blocks=pass_blocks, keep=("doc_id", "text")).collect()
     assert len(found) == len(docs)
     for x in found:
         n, hit, who = brute_hits(x.text, items, 10)
@@ -184,6 +185,17 @@ def test_crf_short_and_plain_secrets():
     assert hit / (hit + wrong) > 0.85 and hit / (hit + missed) > 0.85
 
 
+def test_spans_that_touch():
+    """Model spans that touch base spans go: against the comparison of all with all."""
+    r = random.Random(5)
+    model = secrets.trained()
+    line = lambda: r.choice(["password=", "token: ", "key ", ""]) + "".join(r.choices("0123456789abcdef", k=r.randint(6, 40))) + r.choice([" ", "\n", ", ", ""])
+    for _ in range(60):
+        text = "".join(line() for _ in range(r.randint(1, 30)))
+        base, every = secrets.all_spans(text, model)
+        assert base == sorted(base) and every == sorted(base + [(a, 3, b) for a, b in secrets.crf_spans(text, model) if not any(a < e and s < b for s, _, e in base)])
+
+
 def test_secret_tokens():
     """Cut behind = after a cue word, whole elsewhere; in order, without overlaps, in linear time."""
     words_at = lambda t: [t[a:b] for a, b in secrets.tokens_of(t)]
@@ -266,7 +278,7 @@ def test_license_join_equals_brute_force(spark):
     vocabulary = [f"v{i}" for i in range(30)]
     templates = tuple((f"l{i}", " ".join(r.sample(vocabulary, r.randint(1, 9)))) for i in range(8))
     texts = ["\n".join(" ".join(r.choices(vocabulary, k=r.randint(0, 14))) for _ in range(3)) for _ in range(120)]
-    got = {x.doc_id: x.license for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates, threshold="0.7").collect()}
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates, threshold="0.7", wrapped=False).collect()}
     for i, t in enumerate(texts):
         pairs = [(label, len(set(line.split()) & set(x.split())) / len(set(x.split()))) for line in t.split("\n") for label, x in templates]
         hits = [(label, c) for label, c in pairs if c >= 0.7 - 1e-12]
@@ -338,6 +350,20 @@ def test_tool_calls(spark):
 # --- Jaccard join, components, chunks -------------------------------------------------------------------------------
 
 
+def test_conversations(spark):
+    """One conversation in parts, in topological order; a cycle, a null conversation, calls that are no JSON."""
+    calls = [("a", f"k{i:03}", "t", '{"n": %d}' % i) for i in range(30)] + [("b", "x", "t", '{"n":1}'), ("b", "y", "t", "no json"), (None, "z", "t", "{}"), ("c", "p", "t", "{}"), ("c", "q", "t", "{}")]
+    needs = [(f"k{i:03}", f"k{i + 1:03}") for i in range(29)] + [("x", "y"), ("p", "q"), ("q", "p")]
+    c = spark.createDataFrame(calls, "conv string, call_id string, name string, arguments string")
+    linked = tools.link_calls(c, spark.createDataFrame([("k003", 5, "fine")], "call_id string, result_turn int, content string"), spark.createDataFrame(needs, "id string, needs string"), {"t": {"n": {"type": "integer"}}})
+    got = {(r.conv, r.part): (r.n_calls, json.loads(r.messages)) for r in tools.conversations(linked, "conv", part_calls=8).collect()}
+    assert sorted(k for k in got if k[0] == "a") == [("a", i) for i in range(4)]
+    said = [m for i in range(4) for m in got["a", i][1]]
+    assert [m["id"] for m in said] == [f"k{i:03}" for i in range(29, -1, -1)] and said[26]["result"] == "fine" and said[0]["arguments"] == {"n": 29}
+    assert [m and m["id"] for m in got["b", 0][1]] == [None, "x"] and got[None, 0][0] == 1 and got["c", 0][0] == 2
+    assert all(r.messages == json.dumps(json.loads(r.messages), sort_keys=True, separators=(",", ":")) for r in tools.conversations(linked, "conv").collect())
+
+
 def test_hashes():
     r = random.Random(7)
     seen = {}
