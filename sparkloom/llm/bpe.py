@@ -258,6 +258,7 @@ def encode_documents(docs: DataFrame, tokens_path: str, pattern: str, id_column:
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents; a row for each, null texts as empty ones."""
     import public_tokenizers
 
-    return encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encode_documents(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

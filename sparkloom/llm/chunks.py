@@ -216,7 +216,7 @@ def _cut(text: str, spans: list[dict]) -> str:
 
 def op8_chunks(spark, sf_dir: str) -> DataFrame:
     """One row for each document that holds a passage found elsewhere too."""
-    found = repeated_passages(common.table(spark, sf_dir, "documents"))
+    found = repeated_passages(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     said = lambda x: F.array_join(F.transform(x, lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",")
     n_bytes = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, p: a + p["end"] - p["start"])
     return found.select(F.col("id").alias("doc_id"), F.size("shared").cast("long").alias("n_passages"), n_bytes("shared").alias("shared_bytes"), n_bytes("repeats").alias("repeated_bytes"), said("shared").alias("passages"), said("repeats").alias("repeats"))

@@ -41,6 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if it has fewer partitions than there are cores: a table of a few row groups would else keep
+    most cores idle. Such a table has a few hundred MB a core at most, so the shuffle is small; larger ones stay as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, so that workers can import it wherever they run."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":

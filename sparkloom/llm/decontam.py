@@ -230,7 +230,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, **colu
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     """find_windows of the whole benchmark in all documents; a row for each document, nulls as there."""
-    found = find_windows(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    found = find_windows(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")), common.table(spark, sf_dir, "benchmark"))
     n_hit = hit_words(F.col("runs"))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 

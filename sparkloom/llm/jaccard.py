@@ -406,7 +406,7 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     """similarity_components of all documents on three-word shingles at 90 of 100; rows as there."""
-    return similarity_components(common.table(spark, sf_dir, "documents"), 3, 90, 100)
+    return similarity_components(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")), 3, 90, 100)
 
 
 SQL = """

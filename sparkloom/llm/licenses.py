@@ -202,7 +202,7 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", templates=TEMPLATE
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
     """scan_licenses of all documents; a row for each, nulls as there."""
-    found = scan_licenses(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = scan_licenses(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")), keep=["doc_id"])
     places = F.col("license.places")
     return found.select(
         "doc_id", "license.n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),

@@ -125,7 +125,7 @@ def clean_lines(docs: DataFrame, text_column: str = "text", max_lost: float = 0.
 
 def op1_line_rules(spark, sf_dir: str) -> DataFrame:
     """clean_lines of all documents; a row for each, nulls as there."""
-    done = clean_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = clean_lines(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
     return done.select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")))
 
 

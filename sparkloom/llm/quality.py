@@ -143,6 +143,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **opti
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents; a row for each, null and empty texts too."""
-    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    docs, labels = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")), common.table(spark, sf_dir, "labels")
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -494,7 +494,7 @@ def _redacted(text: str, spans, mark: str) -> str:
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
     """Spans of all documents, whole texts; a row for each document, null and empty texts without spans."""
-    found = scan(common.table(spark, sf_dir, "documents"))
+    found = scan(common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
