@@ -44,6 +44,7 @@ def eligibility(public: Column, stars: Column, unique_links: Column, name: Colum
     named = F.coalesce(name, F.lit("")).rlike(OWN_NAME) | F.coalesce(F.arrays_overlap(labels, F.array(F.lit("awesome"), F.lit("awesome-list"))), F.lit(False))
     intent = described | (~description.rlike(NAMES_PRODUCT) & (named | introduction.rlike(PURPOSE)))
     said = lambda s, r: F.struct(F.lit(s).alias("state"), F.lit(r).alias("reason"))
+    # fixed values: the sentences of the reasons
     return (
         F.when(~F.coalesce(public, F.lit(False)), said("excluded", "Repository is not public."))
         .when(stars.isNull(), said("pending", "Star count is unavailable."))
@@ -91,6 +92,7 @@ def citation_kind(lists: Column, independent: Column) -> Column:
 
 def citation_text(lists: Column, independent: Column) -> Column:
     kind = citation_kind(lists, independent)
+    # fixed values: the three sentences
     return (
         F.when(kind == "single", F.lit("Listed in 1 source."))
         .when(kind == "independent", F.format_string("Cited independently by %d of %d listed sources (sibling/copy-lineage citations discounted; see methodology).", independent, lists))

@@ -147,9 +147,10 @@ def rank_allows(parent: Column, child: Column, order) -> Column:
 
 
 def transition_allowed(rows: DataFrame, allowed: DataFrame) -> DataFrame:
-    """rows (from_state, to_state, ...) with allowed: whether the pair stands in the small transition table."""
-    table = allowed.select("from_state", "to_state").distinct().withColumn("allowed", F.lit(True)).limit(10_000)
-    return rows.join(F.broadcast(table), ["from_state", "to_state"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    """rows (from_state, to_state, ...) with allowed: whether the pair stands in the transition table, which is broadcast
+    where it is small."""
+    table = allowed.select("from_state", "to_state").distinct().withColumn("allowed", F.lit(True))
+    return rows.join(table, ["from_state", "to_state"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 def status_outcome(status: Column) -> Column:

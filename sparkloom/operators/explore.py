@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.dates import OLDER, RANGE_ORDER, UNKNOWN, range_rank
 from ..functions.text import all_terms_in, terms_of
 
+#: Names of orders and states.
 SORTS = ("Most starred", "Name A–Z", "Most indexed entries", "Recently updated")
 STATES = ("Curated lists", "Needs review", "All candidates")
 #: Parameters and their defaults.

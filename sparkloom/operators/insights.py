@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.classify import bucket, bucket_rank
@@ -59,14 +61,25 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, tracked: list[s
     return out.where(F.col("change").isNotNull())
 
 
-def render_diff(diff: DataFrame, key: str, name: str, tracked: list[str]) -> list[str]:
-    """Lines of a change log, for the bounded number of changes that a reader can take in."""
-    out = []
+def render_diff(diff: DataFrame, key: str, name: str, tracked: list[str], shown: int | None = None) -> Iterator[str]:
+    """Lines of a change log. Changes are counted first and then read one partition at a time, so a log may be longer than
+    the driver's memory; with `shown` so many of each kind are listed, and a line says how many more there are."""
+    counts = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
+    if not counts:
+        yield "No catalogue changes."
     for kind in ("added", "removed", "changed"):
-        rows = diff.where(F.col("change") == kind).orderBy(key).limit(10_000).collect()
-        if rows:
-            out.append(f"### {kind.capitalize()} ({len(rows)})")
-            for r in rows:
-                moved = [f"{c}: {r[f'{c}_before']} -> {r[f'{c}_after']}" for c in tracked if kind == "changed" and r[f"{c}_before"] != r[f"{c}_after"]]
-                out.append(f"- {r[name]}" + (f" ({'; '.join(moved)})" if moved else ""))
-    return out or ["No catalogue changes."]
+        if kind not in counts:
+            continue
+        yield f"### {kind.capitalize()} ({counts[kind]})"
+        rows = diff.where(F.col("change") == kind).orderBy(key)
+        for r in (rows if shown is None else rows.limit(shown)).toLocalIterator():
+            moved = [f"{c}: {r[f'{c}_before']} -> {r[f'{c}_after']}" for c in tracked if kind == "changed" and r[f"{c}_before"] != r[f"{c}_after"]]
+            yield f"- {r[name]}" + (f" ({'; '.join(moved)})" if moved else "")
+        if shown is not None and counts[kind] > shown:
+            yield f"- and {counts[kind] - shown} more"
+
+
+def prepended(old: str, title: str, lines: Iterator[str]) -> str:
+    """A change log with a new entry above the older ones, below its first heading."""
+    head, rest = (old.split("\n", 1) + [""])[:2] if old.startswith("# ") else ("# Changelog", old)
+    return f"{head}\n\n## {title}\n\n" + "\n".join(lines) + "\n" + (f"\n{rest.lstrip()}" if rest.strip() else "")

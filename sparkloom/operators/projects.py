@@ -78,8 +78,9 @@ def search(records: DataFrame, query: str, limit: int = 50, title: str = "title"
 
 
 def citations(found: DataFrame, shown: DataFrame) -> DataFrame:
-    """Occurrences of the projects on a page: the page's few ids meet the projects, not the other way round."""
-    return found.join(F.broadcast(shown.select("id").limit(500)), "id", "left_semi").select("id", F.explode("occurrences").alias("o")).select("id", "o.*")
+    """Occurrences of the projects that a page shows: its ids meet the projects, by a broadcast where they are as few as a
+    page's are, else by a shuffle."""
+    return found.join(shown.select("id").distinct(), "id", "left_semi").select("id", F.explode("occurrences").alias("o")).select("id", "o.*")
 
 
 def profile(found: DataFrame, liveness: DataFrame, usage: DataFrame, alternatives: DataFrame) -> DataFrame:

@@ -428,11 +428,16 @@ TOPIC_TAGS = """SELECT p_partkey, lower(split_part(p_name, ' ', -1)) || CASE p_p
 
 
 def list_topics(spark, d):
-    t = F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 4 == 0, "self-hosted docker and SQL").when(F.col("p_partkey") % 4 == 1, "Video games"), "p_type")
+    """Topics of parts by name and type, and words of topics by several keys."""
+    k = F.col("p_partkey")
+    t = F.concat_ws(" ", "p_name", F.when(k % 4 == 0, "self-hosted docker").when(k % 4 == 1, "Video games"), F.when(k % 3 == 0, "and SQL databases, SQL"), F.when(k % 5 == 0, "privacy"), F.when(k % 7 == 0, "a list of awesome lists"), F.when(k % 6 == 0, "fonts"), "p_type")
     return read(spark, d, "part").select("p_partkey", F.array_join(classify.topics_of(t), "; ").alias("topics"))
 
 
-LIST_TOPICS = """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Self-hosting & infrastructure; Data & analytics' WHEN 1 THEN 'Games & media' ELSE 'Other topics' END AS topics FROM part"""
+_TOPICS = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{t}' END" for t, p in classify.TOPICS.items())
+LIST_TOPICS = f"""WITH x AS (SELECT p_partkey, concat_ws(' ', p_name, CASE p_partkey % 4 WHEN 0 THEN 'self-hosted docker' WHEN 1 THEN 'Video games' END, CASE WHEN p_partkey % 3 = 0 THEN 'and SQL databases, SQL' END, CASE WHEN p_partkey % 5 = 0 THEN 'privacy' END,
+  CASE WHEN p_partkey % 7 = 0 THEN 'a list of awesome lists' END, CASE WHEN p_partkey % 6 = 0 THEN 'fonts' END, p_type) AS t FROM part), y AS (SELECT p_partkey, list_filter([{_TOPICS}], lambda z: z IS NOT NULL) AS l FROM x)
+SELECT p_partkey, CASE WHEN len(l) > 0 THEN array_to_string(l, '; ') ELSE 'Other topics' END AS topics FROM y"""
 
 
 def classify_documents(spark, d):
@@ -464,13 +469,13 @@ def sections_from_text(spark, d):
     """Lines of documents as sections: their anchors, numbered where a document repeats one."""
     from pyspark.sql import Window as W
 
-    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("slug", F.substring(text.slug(F.col("line")), 1, 40))
+    rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("slug", text.slug(F.col("line")))
     n = F.row_number().over(W.partitionBy("doc_id", "slug").orderBy("i")) - 1
     return rows.withColumn("n", n).select("doc_id", F.col("i").cast("long").alias("place"), F.concat("slug", F.when(F.col("n") > 0, F.concat(F.lit("-"), F.col("n"))).otherwise("")).alias("anchor"))
 
 
 SECTIONS_FROM_TEXT = r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS place, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-s AS (SELECT doc_id, place, substr(replace(regexp_replace(lower(line), '[^\pL\pM\p{Nd}_\- ]', '', 'g'), ' ', '-'), 1, 40) AS slug FROM l),
+s AS (SELECT doc_id, place, replace(regexp_replace(lower(line), '[^\pL\pM\p{Nd}_\- ]', '', 'g'), ' ', '-') AS slug FROM l),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY place) - 1 AS n FROM s)
 SELECT doc_id, place, slug || CASE WHEN n > 0 THEN '-' || n ELSE '' END AS anchor FROM n"""
 

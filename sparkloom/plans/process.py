@@ -249,25 +249,40 @@ SELECT k AS o_orderkey, CASE WHEN profile = 'high-assurance' OR hot THEN 'human-
 
 
 def branch_classes(spark, d):
-    c = read(spark, d, "customer").withColumn("branch", F.concat(F.element_at(F.array(*map(F.lit, ("fix/", "work/9", "wt/", "issue/12-", "x/", "main"))), (F.col("c_custkey") % 6 + 1).cast("int")), F.when(F.col("c_custkey") % 6 == 5, "").otherwise(F.lower("c_mktsegment"))))
+    """Branches made of the columns of customers: a beginning by the key, then the segment or the name."""
+    k = F.col("c_custkey")
+    begin = F.element_at(F.array(*map(F.lit, ("fix/", "work/", "wt/", "issue/", "x/", "main", "feature/", ""))), (k % 8 + 1).cast("int"))
+    rest = F.when(k % 8 == 5, F.when(k % 3 == 0, "-2").otherwise("")).when(k % 5 == 0, F.lower("c_name")).when(k % 5 == 1, F.concat_ws("-", "c_nationkey", F.lower("c_mktsegment"))).when(k % 5 == 2, F.col("c_mktsegment")).when((k % 8 == 7) & (k % 5 == 3), "").otherwise(F.lower("c_mktsegment"))
+    c = read(spark, d, "customer").withColumn("branch", F.concat(begin, rest))
     return c.select("c_custkey", "branch", decisions.branch_class(F.col("branch")).alias("class"))
 
 
-BRANCH_CLASSES = """WITH b AS (SELECT c_custkey, (['fix/', 'work/9', 'wt/', 'issue/12-', 'x/', 'main'])[c_custkey % 6 + 1] || CASE WHEN c_custkey % 6 = 5 THEN '' ELSE lower(c_mktsegment) END AS branch FROM customer)
-SELECT c_custkey, branch, CASE c_custkey % 6 WHEN 0 THEN 'work' WHEN 1 THEN 'invalid' WHEN 2 THEN 'compatibility' WHEN 3 THEN 'compatibility' WHEN 4 THEN 'invalid' ELSE 'protected' END AS class FROM b"""
+BRANCH_CLASSES = r"""WITH b AS (SELECT c_custkey, (['fix/', 'work/', 'wt/', 'issue/', 'x/', 'main', 'feature/', ''])[c_custkey % 8 + 1] || CASE WHEN c_custkey % 8 = 5 THEN CASE WHEN c_custkey % 3 = 0 THEN '-2' ELSE '' END
+  WHEN c_custkey % 5 = 0 THEN lower(c_name) WHEN c_custkey % 5 = 1 THEN c_nationkey || '-' || lower(c_mktsegment) WHEN c_custkey % 5 = 2 THEN c_mktsegment WHEN c_custkey % 8 = 7 AND c_custkey % 5 = 3 THEN '' ELSE lower(c_mktsegment) END AS branch FROM customer)
+SELECT c_custkey, branch, CASE WHEN branch = '' THEN 'detached' WHEN branch IN ('main', 'staging', 'development') THEN 'protected' WHEN regexp_full_match(branch, '(work|feature|fix|hotfix|spike)/[a-z][a-z0-9-]*') THEN 'work' WHEN regexp_matches(branch, '^(work|feature|fix|hotfix|spike)/') THEN 'invalid'
+  WHEN regexp_full_match(branch, 'issue/[0-9]+-[a-z][a-z0-9-]+') OR regexp_matches(branch, '^(wt|claude)/') THEN 'compatibility' ELSE 'invalid' END AS class FROM b"""
+
+
+def _issues(spark, d):
+    """Documents as issues: the whole text with a beginning by the key."""
+    docs, k = read(spark, d, "documents"), F.col("doc_id")
+    labels = F.when(k % 5 == 0, F.array(F.lit("documentation"))).when(k % 5 == 1, F.array(F.lit("bug"), F.lit("awaiting-release"))).otherwise(F.array().cast("array<string>"))
+    body = F.concat(F.when(k % 7 == 0, "A new feature for version v1.2.3. ").when(k % 7 == 1, "Profile: bounded. ").when(k % 7 == 2, "A spike, internal-only. ").when(k % 7 == 3, "A breaking change of auth. ").otherwise(""), F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", body.alias("body"), labels.alias("labels"), F.when(k % 2 == 0, "closed").otherwise("open").alias("state"), F.when(k % 11 == 0, "v2.0.0").alias("milestone"))
 
 
 def issue_decisions(spark, d):
-    docs = read(spark, d, "documents")
-    labels = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("documentation"))).when(F.col("doc_id") % 5 == 1, F.array(F.lit("bug"), F.lit("awaiting-release"))).otherwise(F.array().cast("array<string>"))
-    body = F.concat(F.when(F.col("doc_id") % 3 == 0, "A new feature for version v1.2.3. ").when(F.col("doc_id") % 3 == 1, "Profile: bounded. ").otherwise("spike "), F.translate(F.substring("text", 1, 0), "", ""))
-    state = F.when(F.col("doc_id") % 2 == 0, "closed").otherwise("open")
-    return docs.select("doc_id", decisions.release_impact(body, labels).alias("impact"), decisions.release_assignment(body, labels, state, F.lit(None).cast("string")).alias("assignment"), decisions.issue_path(body, labels).alias("path"))
+    body, labels = F.col("body"), F.col("labels")
+    return _issues(spark, d).select("doc_id", decisions.release_impact(body, labels).alias("impact"), decisions.release_assignment(body, labels, F.col("state"), F.col("milestone")).alias("assignment"), decisions.issue_path(body, labels).alias("path"))
 
 
-ISSUE_DECISIONS = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'docs-only' WHEN doc_id % 3 = 0 THEN 'minor' WHEN doc_id % 5 = 1 THEN 'patch' ELSE 'unknown' END AS impact,
-CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 1 THEN 'released' WHEN doc_id % 3 = 0 THEN 'assigned' ELSE 'needs-assignment' END AS assignment,
-CASE doc_id % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'bounded' ELSE 'exploratory' END AS path FROM documents"""
+ISSUE_DECISIONS = r"""WITH a AS (SELECT doc_id AS k, CASE doc_id % 7 WHEN 0 THEN 'A new feature for version v1.2.3. ' WHEN 1 THEN 'Profile: bounded. ' WHEN 2 THEN 'A spike, internal-only. ' WHEN 3 THEN 'A breaking change of auth. ' ELSE '' END || coalesce(text, '') AS body,
+  CASE doc_id % 5 WHEN 0 THEN ['documentation'] WHEN 1 THEN ['bug', 'awaiting-release'] ELSE [] END AS labels, CASE WHEN doc_id % 11 = 0 THEN 'v2.0.0' END AS milestone FROM documents),
+b AS (SELECT *, CASE WHEN regexp_matches(body, '(?i)no release impact|internal-only') THEN 'none' WHEN regexp_matches(body, '(?i)docs-only|documentation') OR list_contains(labels, 'documentation') THEN 'docs-only' WHEN regexp_matches(body, '(?i)breaking|major') THEN 'major'
+  WHEN regexp_matches(body, '(?i)feature|minor') THEN 'minor' WHEN regexp_matches(body, '(?i)bug|fix|patch') OR list_contains(labels, 'bug') THEN 'patch' ELSE 'unknown' END AS impact,
+  coalesce(nullif(regexp_extract(body, '(?i)(?:target release|release|version)\s*:?\s*(v\d+\.\d+\.\d+(?:[-+][\w.-]+)?)', 1), ''), milestone) AS candidate, lower(nullif(regexp_extract(body, '(?i)(?:profile|workflow classification)\s*:?\s*(bounded|standard|high-assurance|exploratory)', 1), '')) AS named FROM a)
+SELECT k AS doc_id, impact, CASE WHEN impact = 'none' THEN 'no-release-impact' WHEN k % 2 = 0 AND k % 5 <> 1 THEN 'released' WHEN candidate IS NOT NULL THEN 'assigned' ELSE 'needs-assignment' END AS assignment,
+  coalesce(named, CASE WHEN regexp_matches(body, '(?i)security|auth|remote|migration|data loss|production|high-assurance') THEN 'high-assurance' WHEN regexp_matches(body, '(?i)exploratory|spike|research') THEN 'exploratory' WHEN regexp_matches(body, '(?i)docs-only|typo|bounded|low-risk') THEN 'bounded' ELSE 'standard' END) AS path FROM b"""
 
 
 def next_versions(spark, d):
@@ -353,11 +368,14 @@ FORM_BODIES = "SELECT page_id, url, '' AS why FROM pages"
 
 
 def text_sections(spark, d):
-    t = F.concat(F.lit("# Top\n\n## Summary\n"), F.get(F.split("text", "\n"), F.lit(0)), F.lit("\n### Inner\nx\n## Next\ny"))
+    """Whole documents as the body of a section between two others."""
+    t = F.concat(F.lit("# Top\n\n## Summary\n"), F.col("text"), F.lit("\n### Inner\nx\n## Next\ny"))
     return read(spark, d, "documents").select("doc_id", F.md5(section(t, "Summary")).alias("md5"))
 
 
-TEXT_SECTIONS = "SELECT doc_id, md5(trim(string_split(text, chr(10))[1] || chr(10) || '### Inner' || chr(10) || 'x', ' ' || chr(10))) AS md5 FROM documents"
+# a heading in a document itself would end the section: what is before the first one counts
+TEXT_SECTIONS = r"""WITH x AS (SELECT doc_id, text || chr(10) || '### Inner' || chr(10) || 'x' AS t FROM documents)
+SELECT doc_id, md5(trim(regexp_extract(t, '(?s)^(.*?)(?:\n#{1,2}[ \t]|\z)', 1), ' ' || chr(9) || chr(10) || chr(13))) AS md5 FROM x"""
 
 
 def closest_titles(spark, d):

@@ -1,12 +1,14 @@
 """Artifacts: staged, checked, then published as what was reviewed; never overwritten in place.
 
-An artifact is a folder per generation, `<root>/<name>/digest=<digest>/`, of Parquet by prefix, and a pointer file that
-names the current one. The digest is taken over the rows, whatever their order or files.
+An artifact is a folder per generation, `<root>/<name>/digest=<digest>/`, of Parquet by prefix, and a numbered pointer
+file that names the current one. The digest is taken over the rows, whatever their order or files.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -61,27 +63,50 @@ class Store:
             raise ValueError(f"{name}: rows don't match digest {digest}")
         return rows
 
-    def publish(self, name: str, expected: str) -> None:
-        """Make the generation that was reviewed the current one. The pointer moves last, by one rename."""
-        self.validate(name, expected)
-        fs, new = self._fs(f"{self.root}/{name}/current.tmp")
-        out = fs.create(new, True)
+    def publish(self, name: str, expected: str, checks: Callable[[DataFrame], list[DataFrame]] | None = None) -> None:
+        """Make the generation that was reviewed the current one; checks run once more on what was written.
+
+        Pointers are numbered files, and the one with the largest number counts. A new one is written under another name
+        and gets its own by a rename onto a name that is free, so at any moment some whole pointer is there, and of two
+        writers with the same number one fails. Older pointers go afterwards.
+        """
+        rows = self.validate(name, expected)
+        for found in checks(rows.drop("prefix")) if checks else []:
+            bad = found.limit(20).collect()
+            if bad:
+                raise ValueError(f"{name}: {len(bad)} or more findings, such as {bad[0]}")
+        had = self._pointers(name)
+        fs, new = self._fs(f"{self.root}/{name}/pointer.{uuid.uuid4().hex}")
+        out = fs.create(new, False)
         out.write(bytearray(json.dumps({"digest": expected}).encode()))
         out.close()
-        _, old = self._fs(f"{self.root}/{name}/current.json")
-        fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError(f"{name}: pointer could not be moved")
+        _, place = self._fs(f"{self.root}/{name}/current-{max(had, default=0) + 1:012d}.json")
+        if fs.exists(place) or not fs.rename(new, place):
+            fs.delete(new, False)
+            raise OSError(f"{name}: another writer published meanwhile")
+        for n in had:
+            fs.delete(self._fs(f"{self.root}/{name}/current-{n:012d}.json")[1], False)
+
+    def _pointers(self, name: str) -> list[int]:
+        fs, p = self._fs(f"{self.root}/{name}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(x[8:-5]) for x in names if x.startswith("current-") and x.endswith(".json"))
 
     def current(self, name: str) -> str | None:
-        path = f"{self.root}/{name}/current.json"
-        return json.loads(self.spark.read.text(path, wholetext=True).first()[0])["digest"] if self._exists(path) else None
+        had = self._pointers(name)
+        return json.loads(self.spark.read.text(f"{self.root}/{name}/current-{had[-1]:012d}.json", wholetext=True).first()[0])["digest"] if had else None
 
     def read(self, name: str) -> DataFrame | None:
         """Rows of the current generation; None where nothing is published."""
         digest = self.current(name)
         return None if digest is None else self.spark.read.parquet(self.folder(name, digest))
 
+    def at(self, name: str, digest: str) -> DataFrame:
+        """Rows of the generation with this digest, current or not, while it isn't pruned."""
+        if not self._exists(f"{self.folder(name, digest)}/_SUCCESS"):
+            raise ValueError(f"{name}: no generation {digest}")
+        return self.spark.read.parquet(self.folder(name, digest))
+
     def unused(self, name: str) -> list[str]:
         """Digests of generations that are not current: what may be pruned."""
         fs, p = self._fs(f"{self.root}/{name}")

@@ -8,6 +8,7 @@ one bad run doesn't fail a job.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -266,15 +267,58 @@ def append_once(batch: DataFrame, path: str, key: str = "id") -> DataFrame:
     """For foreachBatch: rows of a batch whose key isn't in the table at path yet, first writer wins; they are appended."""
     spark = batch.sparkSession
     new = batch.dropDuplicates([key])
-    try:
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti").select(*batch.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    if _names(spark, path):
+        new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
     new.write.mode("append").parquet(path)
     return new
 
 
+class Conflict(Exception):
+    """The table is at another revision than its writer expected."""
+
+
+def _names(spark, path: str) -> list[str]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def revision(spark, path: str) -> int:
+    """Of a log that append_expected writes: the number of its appends, 0 for none."""
+    return max((int(n[9:]) for n in _names(spark, path) if n.startswith("revision=")), default=0)
+
+
+def append_expected(batch: DataFrame, path: str, expected: int, key: str = "id") -> int:
+    """Append a batch to a log that must be at revision `expected`; returns the new revision. Rows whose key the log has
+    already are left out: a writer may try again.
+
+    The batch is written under a name that readers don't see and gets its own by a rename onto the next revision, which
+    must be free: of two writers that expect the same revision one appends and the other gets a Conflict.
+    """
+    spark = batch.sparkSession
+    if revision(spark, path) != expected:
+        raise Conflict(f"{path} is at revision {revision(spark, path)}, not {expected}")
+    new = batch.dropDuplicates([key])
+    if expected:
+        new = new.join(read_log(spark, path, batch.schema).select(key), key, "left_anti").select(*batch.columns)
+    mark = uuid.uuid4().hex
+    new.write.parquet(f"{path}/_{mark}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    place, to = hadoop(f"{path}/_{mark}"), hadoop(f"{path}/revision={expected + 1:012d}")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(to) or not fs.rename(place, to) or fs.exists(hadoop(f"{path}/revision={expected + 1:012d}/_{mark}")):
+        fs.delete(place, True)
+        fs.delete(hadoop(f"{path}/revision={expected + 1:012d}/_{mark}"), True)
+        raise Conflict(f"{path} got revision {expected + 1} from another writer")
+    return expected + 1
+
+
+def read_log(spark, path: str, schema, upto: int | None = None) -> DataFrame:
+    """Rows of a log, as of a revision where one is given."""
+    rows = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/revision=*") if revision(spark, path) else spark.createDataFrame([], schema)
+    return rows if upto is None or "revision" not in rows.columns else rows.where(F.col("revision") <= upto)
+
+
 def files_stream(spark, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
     """Run events as JSON lines that arrive in a folder."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).json(path)

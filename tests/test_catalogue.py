@@ -188,8 +188,12 @@ def test_diff(spark):
     after = spark.createDataFrame([("2", "b", None, 2), ("3", "c", "eligible", 3), ("4", "d", "pending", 4)], schema)
     d = insights.snapshot_diff(before, after, "id", ["state", "stars"])
     assert {r.id: r.change for r in d.collect()} == {"1": "removed", "3": "changed", "4": "added"}
-    lines = insights.render_diff(d, "id", "id", ["state", "stars"])
-    assert "- 3 (state: pending -> eligible)" in lines and insights.render_diff(d.limit(0), "id", "id", []) == ["No catalogue changes."]
+    lines = list(insights.render_diff(d, "id", "id", ["state", "stars"]))
+    assert "- 3 (state: pending -> eligible)" in lines and list(insights.render_diff(d.limit(0), "id", "id", [])) == ["No catalogue changes."]
+    more = spark.range(5).select(F.col("id").cast("string").alias("id"), F.lit("added").alias("change"))
+    assert list(insights.render_diff(more, "id", "id", [], shown=2)) == ["### Added (5)", "- 0", "- 1", "- and 3 more"]
+    log = insights.prepended("# Changes\n\n## Old\n\n- x\n", "New", lines)
+    assert log.startswith("# Changes\n\n## New\n\n###") and log.endswith("## Old\n\n- x\n") and insights.prepended("", "A", iter(["b"])) == "# Changelog\n\n## A\n\nb\n"
 
 
 def test_activity(spark):

@@ -5,17 +5,19 @@ import os
 import duckdb
 import pytest
 
-from sparkloom.plans import catalogue, process
+from sparkloom.plans import audits, catalogue, files, policies, process
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = {**catalogue.QUERIES, **process.QUERIES}, {**catalogue.SQL, **process.SQL}
+PLANS = (catalogue, process, audits, files, policies)
+QUERIES, SQL = ({k: v for m in PLANS for k, v in getattr(m, kind).items()} for kind in ("QUERIES", "SQL"))
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables are missing")
 
 
 def differences(query, sql, spark, folder):
     con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = query(spark, SF)
@@ -43,3 +45,7 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_names_are_unique():
+    assert len(QUERIES) == sum(len(m.QUERIES) for m in PLANS)
