@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before kept, and returns a DataFrame; all but
 the last return the columns of documents. run() writes what a stage returns to the shared folder and reads it again, so
 a lost executor costs the tasks of one stage only.
+
+Every stage takes null and empty texts, null and repeated ids, empty tables and further columns: texts that are null or
+empty are judged as empty ones by the first stage, and stay in the second, third and fourth as they are; rows that repeat
+id and text are judged alike, except that the second stage keeps one of them if they have words.
 """
 
 from __future__ import annotations
