@@ -7,7 +7,8 @@ cut into fragments, ranges of that order.
    Cut into d + 1 + w fragments, at least w + 1 are equal in both. So equal (fragment, content) keys find every link,
    and an n-gram that a third of all documents hold makes no key by itself. Sizes fall into classes such that linked
    sets are in the same class or in adjacent ones; each class has its own number of fragments, and a set emits keys
-   in its own class and, as a guest, in the next.
+   in its own class and, as a guest, in the next. Keys that only guests share go: two guests of a class have the class
+   below in common and meet there, and of two sets in adjacent classes one is at home in the class where they meet.
 2. Groups. A set that shares fewer keys with others than w + 1, less its empty fragments, has no link: it goes, and
    the count is taken again. With more than w empty fragments it needs one shared key only. Sets left that share a key,
    or share one with a set that does, form a group. No pair is made for that: each key links its sets with the smallest
@@ -84,9 +85,10 @@ def fragment_keys(own: np.ndarray, c: Classes) -> list[tuple[int, np.ndarray, in
     return out
 
 
-def unit_id(d1: np.ndarray | int, k: int):
-    """The vertex that stands for a set in a class."""
-    return mix(np.atleast_1d(np.asarray(d1, _U)) + mix(np.array([k + 1], _U)))
+def unit_id(d1: np.ndarray | int, home: int, guest: int):
+    """The vertex that stands for a set in its own class or, as a guest, in the next. As signed numbers guests are
+    negative, so the largest of several tells whether one of them is at home."""
+    return (mix(np.atleast_1d(np.asarray(d1, _U)) + mix(np.array([home + guest + 1], _U))) >> _U(1)) | _U(guest << 63)
 
 
 def row_key(ids: pa.Array) -> np.ndarray:
@@ -153,10 +155,10 @@ def _units(width: int, num: int, den: int, known: Bitmap | None):
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(a)
-                for k, keys, need in fragment_keys(own, c):
+                for guest, (_, keys, need) in enumerate(fragment_keys(own, c)):
                     if known is not None:
                         keys = keys[known.has(_signed(keys))]
-                    rows.append((_signed(keys), np.full(len(keys), _long(int(unit_id(a, k)[0])), np.int64), np.full(len(keys), need, np.int32)))
+                    rows.append((_signed(keys), np.full(len(keys), _long(int(unit_id(a, c.of(len(own)), guest)[0])), np.int64), np.full(len(keys), need, np.int32)))
             if rows:
                 key, unit, need = (np.concatenate(x) for x in zip(*rows))
                 for i in range(0, len(key), 100_000):
@@ -183,7 +185,7 @@ def _sets(width: int, num: int, den: int, known: Bitmap):
                     continue
                 a, b = digest(own)
                 k = c.of(len(own))
-                rows += [(_long(int(unit_id(a, k + s)[0])), _long(a), _long(b), len(own), own.tobytes()) for s in (0, 1)]
+                rows += [(_long(int(unit_id(a, k, guest)[0])), _long(a), _long(b), len(own), own.tobytes()) for guest in (0, 1)]
             columns = list(zip(*rows)) if rows else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["unit", "d1", "d2", "n", "own"])
@@ -278,8 +280,8 @@ def _linked(rows: DataFrame, width: int, num: int, den: int, block_sets: int, bl
     n_rows = heads.count()
     texts = rows.select("_text")
 
-    # keys that two different sets share: minima and maxima are taken before the shuffle
-    several = lambda df: df.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("last"), F.count("*").alias("_n")).where("hub <> last").select("key", "hub", "_n")
+    # keys that two different sets share, one of them at home: minima and maxima are taken before the shuffle
+    several = lambda df: df.groupBy("key").agg(F.min("unit").alias("hub"), F.max("unit").alias("last"), F.count("*").alias("_n")).where("hub <> last AND last >= 0").select("key", "hub", "_n")
     shared = common.written(several(texts.mapInArrow(_units(width, num, den, None), _UNITS)).select("key"), "jaccard-keys")
     again = texts.mapInArrow(_units(width, num, den, Bitmap.of(shared, "key")), _UNITS).join(shared, "key").distinct()
     n_again, before = None, shared
@@ -365,11 +367,11 @@ def _unit_rows(batches):
         node = batch.column("node")
         rk, n, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rk", "n", "home"))
         d1 = batch.column("d1").to_numpy(zero_copy_only=False).view(_U)
-        for step in (0, 1):
+        for guest in (0, 1):
             u = np.zeros(len(d1), np.int64)
             for k in np.unique(home):
                 own = home == k
-                u[own] = _signed(unit_id(d1[own], int(k) + step))
+                u[own] = _signed(unit_id(d1[own], int(k), guest))
             yield pa.RecordBatch.from_arrays([node, pa.array(rk), pa.array(n), pa.array(u)], names=["node", "rk", "n", "unit"])
 
 
