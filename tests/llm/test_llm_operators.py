@@ -478,6 +478,24 @@ def test_jaccard_uneven_sets():
     assert pairs > 15_000
 
 
+def test_jaccard_guests():
+    """Linked sets share enough keys in a class where one of them is at home; only units at home aren't negative."""
+    r, c = np.random.default_rng(11), jaccard.classes(80, 100)
+    adjacent = 0
+    for _ in range(2000):
+        n = int(r.integers(5, 150))
+        y = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        x = np.sort(r.permutation(y)[: -(-len(y) * 80 // 100) + int(r.integers(0, 2))])
+        homes = [c.of(len(z)) for z in (x, y)]
+        assert homes[1] - homes[0] in (0, 1)
+        adjacent += homes[0] != homes[1]
+        (kx, need_x), (ky, need_y) = ({k: (set(keys.tolist()), need) for k, keys, need in jaccard.fragment_keys(z, c)}[homes[1]] for z in (x, y))
+        assert len(kx & ky) >= max(need_x, need_y)
+        units = [jaccard.unit_id(jaccard.digest(z)[0], h, homes[1] - h).view(np.int64)[0] for z, h in zip((x, y), homes)]
+        assert [u >= 0 for u in units] == [h == homes[1] for h in homes] and max(units) >= 0
+    assert 200 < adjacent < 2000
+
+
 def test_jaccard_fragments():
     """What the candidates rest on: linked sets share as many keys as either of them needs."""
     r = np.random.default_rng(3)
