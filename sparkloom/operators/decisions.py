@@ -68,15 +68,20 @@ def first_available(candidates: DataFrame, agents: DataFrame) -> DataFrame:
 def bind_provider(intents: DataFrame, providers: DataFrame) -> DataFrame:
     """(intent_id, provider, status): bound if a provider has every required facet, else degraded if the first one lacks
     only optional ones, else manual if allowed, else blocked. intents: intent_id, kind, required, optional, manual;
-    providers: provider, kind, facets, place. They meet by kind."""
-    rows = intents.join(providers, "kind", "left")
-    lacks = F.array_except("required", F.coalesce("facets", F.array().cast("array<string>")))
-    full = F.col("provider").isNotNull() & (F.size(lacks) == 0)
-    soft = F.col("provider").isNotNull() & (F.size(F.array_except(lacks, F.coalesce("optional", F.array().cast("array<string>")))) == 0)
-    rank = F.when(full, 0).when(soft, 1)
-    best = rows.groupBy("intent_id").agg(F.min(F.struct(F.coalesce(rank, F.lit(9)).alias("r"), F.col("place"), F.col("provider"))).alias("b"), F.bool_or("manual").alias("_m"))
+    providers: provider, kind, facets, place. They meet by kind: each different request each different set of facets, for
+    which its first provider stands, so the cost doesn't grow with the number of intents times that of providers."""
+    as_set = lambda c: F.sort_array(F.array_distinct(c))
+    none = F.array().cast("array<string>")
+    asked = intents.select("intent_id", "kind", as_set("required").alias("required"), as_set(F.coalesce("optional", none)).alias("optional"), "manual")
+    given = providers.where("provider IS NOT NULL").groupBy("kind", as_set(F.coalesce("facets", none)).alias("facets")).agg(F.min(F.struct("place", "provider")).alias("p"))
+    lacks = F.array_except("required", "facets")
+    rank = F.when(F.size(lacks) == 0, 0).when(F.size(F.array_except(lacks, "optional")) == 0, 1)
+    request = ["kind", "required", "optional"]
+    fits = asked.where("required IS NOT NULL").select(*request).distinct().join(given, "kind").withColumn("r", rank).where("r IS NOT NULL")
+    found = fits.groupBy(*request).agg(F.min(F.struct("r", "p.place", "p.provider")).alias("b"))
+    best = asked.join(found, request, "left").groupBy("intent_id").agg(F.min("b").alias("b"), F.bool_or("manual").alias("_m"))
     status = F.when(F.col("b.r") == 0, "bound").when(F.col("b.r") == 1, "degraded").when(F.col("_m"), "manual").otherwise("blocked")
-    return best.select("intent_id", F.when(F.col("b.r") < 9, F.col("b.provider")).alias("provider"), status.alias("status"))
+    return best.select("intent_id", "b.provider", status.alias("status"))
 
 
 def branch_class(branch: Column, protected=PROTECTED, prefixes=WORK_PREFIXES, slug: str = SLUG, compatible=COMPATIBLE_PREFIXES) -> Column:

@@ -286,3 +286,35 @@ def test_registry_and_targets(spark):
     lists = spark.createDataFrame([("1", "https://x/A/", True, "eligible"), ("2", "https://x/p", True, "pending")], "id string, url string, public boolean, state string")
     q = spark.createDataFrame([("https://x/a", None), ("https://x/fork", "https://x/A"), ("https://x/p", None)], "url string, parent_url string")
     assert [x.list_id for x in activity.published_repository(q, lists).orderBy("url").collect()] == ["1", "1", None]
+
+
+def test_bind_provider_of_many_intents_and_providers(spark):
+    import random
+    import threading
+
+    r, names = random.Random(3), ["a", "b", "c", None]
+    some = lambda: r.choice([None, [], *[r.sample(names, r.randint(1, 3)) for _ in range(6)]])
+    asked = [(f"i{k}", r.choice(["x", "y", None]), some(), some(), r.random() < 0.5) for k in range(200)]
+    given = [(r.choice([f"p{k}", None]), r.choice(["x", "y", None]), some(), k % 7) for k in range(12)]
+    i = spark.createDataFrame(asked, "intent_id string, kind string, required array<string>, optional array<string>, manual boolean")
+    p = spark.createDataFrame(given, "provider string, kind string, facets array<string>, place long")
+    want = {}
+    for key, kind, required, optional, manual in asked:
+        ranks = []
+        for name, k, facets, place in given:
+            if name and kind and k == kind and required is not None:
+                lacks = set(required) - set(facets or [])
+                if lacks <= set(optional or []):
+                    ranks.append((1 if lacks else 0, place, name))
+        want[key] = (min(ranks)[2], ("bound", "degraded")[min(ranks)[0]]) if ranks else (None, "manual" if manual else "blocked")
+    assert {x.intent_id: (x.provider, x.status) for x in decisions.bind_provider(i, p).collect()} == want
+    # 2.5 billion pairs, few different ones
+    facets = lambda c: F.filter(F.array(F.when(c % 2 == 0, "a"), F.when(c % 3 == 0, "b")), lambda f: f.isNotNull())
+    many = spark.range(50_000)
+    i = many.select(F.col("id").alias("intent_id"), F.lit("k").alias("kind"), facets(F.col("id")).alias("required"), F.array().cast("array<string>").alias("optional"), F.lit(False).alias("manual"))
+    p = many.select(F.format_string("p%05d", "id").alias("provider"), F.lit("k").alias("kind"), facets(F.col("id")).alias("facets"), (-F.col("id")).alias("place"))
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    got = {x.provider: x["count"] for x in decisions.bind_provider(i, p).groupBy("provider").count().collect()}
+    late.cancel()
+    assert got == {"p49998": 33_333, "p49999": 16_667}
