@@ -85,23 +85,35 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Bitmap:
-    """A set of 64-bit keys, kept as a bit for each of 2**bits slots: it may hold too much, never too little.
+    """A set of 64-bit keys, kept as `probes` bits for each among 2**bits slots: it may hold too much, never too little.
 
-    Its size doesn't depend on the keys, so it may be broadcast; where there are too many keys for it, more rows pass
-    and meet the exact join that must follow.
+    Where there are too many keys for its size, more rows pass and meet the exact join that must follow. Two probes take
+    a key's lower and upper half, so its bits should be a hash's.
     """
 
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
+    def __init__(self, words: np.ndarray, bits: int, probes: int = 1):
+        self.words, self.bits, self.probes = words, bits, probes
+
+    @staticmethod
+    def bits_for(n: int) -> int:
+        """Eight slots or more a key: 2 MB at least, 32 MB at most."""
+        return min(28, max(24, (8 * n - 1).bit_length()))
 
     @classmethod
-    def of(cls, keys: DataFrame, column: str, bits: int = 24) -> "Bitmap":
+    def of(cls, keys: DataFrame, column: str, bits: int = 24, probes: int = 1) -> "Bitmap":
+        if not 1 <= probes <= 2 or bits > 32:
+            raise ValueError("a key has two halves of 32 bits")
+        if probes == 2:
+            keys = keys.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias(column))
         slot = F.col(column).bitwiseAND((1 << bits) - 1)
         got = keys.select(F.shiftright(slot, 6).alias("w"), slot.bitwiseAND(63).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v")).toPandas()
         words = np.zeros(1 << max(0, bits - 6), _U)
         words[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).view(_U)
-        return cls(words, bits)
+        return cls(words, bits, probes)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys.view(_U) & _U((1 << self.bits) - 1)
-        return (self.words[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63)) & _U(1)).astype(bool)
+        found = np.ones(len(keys), bool)
+        for i in range(self.probes):
+            slot = (keys.view(_U) >> _U(32 * i)) & _U((1 << self.bits) - 1)
+            found &= (self.words[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63)) & _U(1)).astype(bool)
+        return found

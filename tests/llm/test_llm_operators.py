@@ -810,3 +810,24 @@ def test_shared_folder(spark):
     assert kept.count() == 5 and common.shared_dir(spark).removeprefix("file:") in kept.inputFiles()[0]
     common.held("a")["k"] = 1
     assert common.held("a") == {"k": 1} and common.held("b") == {} and common.held("a") == {}
+
+
+def test_bitmap_of_many_keys_and_rows_behind_it(spark):
+    from sparkloom.llm import jaccard
+    from sparkloom.llm.hashing import Bitmap, mix
+
+    keys = mix(np.arange(600_000, dtype=np.uint64)).view(np.int64)
+    known = Bitmap.of(spark.createDataFrame([(int(x),) for x in keys[:300]], "k long"), "k", 12, 2)
+    assert known.has(keys[:300]).all() and known.has(keys[300:]).mean() < 0.03  # one probe lets 7 % through
+    assert [Bitmap.bits_for(n) for n in (0, 2_000_000, 2_097_153, 10**9)] == [24, 24, 25, 28]
+    rows = [(i, " ".join(f"w{i // 2 * 50 + j}" for j in range(40)), {"a": i}) for i in range(0, 400)] + [(None, None, None), (7, "", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a map` map<string,int>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard.keep_one(docs)
+        assert sorted((str(r[0]), r[2]) for r in out.collect()) == sorted([(str(i), {"a": i}) for i in range(0, 400, 2)] + [("None", None), ("7", {})], key=str)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan[: plan.index("LeftAnti")] and "MapInArrow" in plan[plan.index("LeftAnti") :]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
